@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from .common import Bounded, fresh, ship
 from .token_counts import PATTERN, VOCABULARY, _ranks_of, load
@@ -264,7 +265,8 @@ def bpe_encode(docs: DataFrame, vocabulary: str = VOCABULARY, text_col: str = "t
                 out.append(pa.array([None if t is None else codec.decode(np.frombuffer(p, "<i4").tolist()) == t for t, p in zip(texts, parts)], pa.bool_()))
             yield pa.RecordBatch.from_arrays(out, [*b.schema.names, *names])
 
-    schema = docs.schema.add(names[0], "array<int>").add(names[1], "int") if not verify else docs.schema.add(names[0], "array<int>").add(names[1], "int").add(names[2], "boolean")
+    kinds = [T.ArrayType(T.IntegerType()), T.IntegerType(), T.BooleanType()]
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, k) for n, k in zip(names, kinds))])
     return docs.mapInArrow(run, schema)
 
 
@@ -280,4 +282,4 @@ def bpe_decode(encoded: DataFrame, vocabulary: str = VOCABULARY, ids_col: str =
             text = [None if i is None else codec.decode(i) for i in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.string())], [*b.schema.names, name])
 
-    return encoded.mapInArrow(run, type(encoded.schema)(list(encoded.schema.fields)).add(name, "string"))
+    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(name, T.StringType())]))
