@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from .bpe import bpe_encode
 from .common import documents
+from .decontaminate import overlaps
+from .exact_dedup import exact_dedup
+from .language_id import identify, train
+from .secret_scan import RULES, scan_secrets
 from .token_counts import count_tokens
 from .token_output import token_shards
 
@@ -16,6 +20,23 @@ def op2_token_shards(spark, sf_dir):
     return token_shards(documents(spark, sf_dir))
 
 
+def op4_language_id(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return identify(docs.select("doc_id", "text"), train(docs)).drop("text")
+
+
+def op5_exact_dedup(spark, sf_dir):
+    return exact_dedup(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
+
+
+def op6_secret_scan(spark, sf_dir):
+    return scan_secrets(documents(spark, sf_dir)).select("doc_id", "rule", "nth", "secret")
+
+
+def op8_decontaminate(spark, sf_dir):
+    return overlaps(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("text_hash")
+
+
 def op9_bpe(spark, sf_dir):
     encoded = bpe_encode(documents(spark, sf_dir).select("doc_id", "text"))
     return encoded.drop("text")
@@ -27,6 +48,18 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_token_shards, op9_bpe, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_token_shards, op4_language_id, op5_exact_dedup, op6_secret_scan, op8_decontaminate, op9_bpe, pipeline)}
+
+def _secrets_sql() -> str:
+    parts = []
+    for rule, expression in RULES.items():
+        body = expression.removeprefix("\\b").replace("'", "''")
+        whole = f"(?:^|[^0-9A-Za-z_-])({body})" if expression.startswith("\\b") else f"({body})"
+        parts.append(f"SELECT doc_id, '{rule}' AS rule, regexp_extract_all(text, '{whole}', 1) AS found FROM documents")
+    return f"SELECT doc_id, rule, CAST(generate_subscripts(found, 1) AS INTEGER) AS nth, unnest(found) AS secret FROM ({' UNION ALL '.join(parts)}) WHERE len(found) > 0"
+
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_exact_dedup": "SELECT min(doc_id) AS doc_id, count(*) AS n_copies FROM documents WHERE text IS NOT NULL GROUP BY text UNION ALL SELECT doc_id, 1 FROM documents WHERE text IS NULL",
+    "op6_secret_scan": _secrets_sql(),
+}
