@@ -184,3 +184,8 @@ def rolling(words: np.ndarray, n: int, seed: int) -> np.ndarray:
 
 if sys.byteorder != "little":  # arrays travel as little-endian bytes
     raise ImportError("a little-endian machine is needed")
+
+
+def drop_name(df: DataFrame, name: str, kind: str):
+    """The frame's schema and one more column."""
+    return df.limit(0).withColumn(name, F.lit(None).cast(kind)).schema
