@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import sys
 import tempfile
@@ -11,6 +13,7 @@ import zipfile
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +25,7 @@ ROOT = Path(__file__).resolve().parents[2]
 BROADCAST_ROWS = 1_000_000
 
 #: Distinct words (or pieces) that a Python worker remembers before it forgets all.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 300_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,18 +104,23 @@ def plan_bytes(df: DataFrame) -> int:
 
 
 class Bounded(dict):
-    """A memo whose misses are computed by `make`; `trim` keeps it from growing with the data."""
+    """A memo whose misses are computed by `make`. trim() keeps it from growing with the
+    data: the younger half becomes the older one, and what is used again comes back."""
 
     def __init__(self, make, entries: int = CACHE_ENTRIES):
         super().__init__()
-        self.make, self.entries = make, entries
+        self.make, self.entries, self.older = make, entries, {}
 
     def __missing__(self, key):
-        value = self[key] = self.make(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         return value
 
     def trim(self) -> None:
-        if len(self) > self.entries:
+        if len(self) > self.entries // 2:
+            self.older = dict(self)
             self.clear()
 
 
@@ -142,6 +150,27 @@ class Words:
         return h[h != 0] if not h.all() else h
 
 
+_HELD: dict = {}
+_LIBC = ctypes.CDLL(None)
+
+
+def held(key, make):
+    """What a Python worker keeps from task to task, such as memos: for one operator at a
+    time, so that a worker that turns to the next doesn't hold the last one's too."""
+    if key not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if hasattr(_LIBC, "malloc_trim"):  # give it back to the system
+            _LIBC.malloc_trim(0)
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def words_of_worker() -> Words:
+    return held("words", Words)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values."""
     h = h ^ (h >> np.uint64(32))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, hinted, odd_constants, ship, small, written
+from .common import Words, words_of_worker, hinted, odd_constants, ship, small, written
 
 #: Positions that each mask looks at.
 MASKS = ((0, 1, 3, 4, 6, 9, 10, 12), (0, 2, 3, 5, 8, 9, 11, 12), (0, 1, 4, 6, 7, 8, 11, 12), (0, 1, 2, 3, 4, 5, 6, 7))
@@ -166,7 +166,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
         rows = [(r["item"], r["bt"]) for r in b.orderBy("item", "bt").toLocalIterator()]
 
         def run(batches):
-            words = Words()
+            words = words_of_worker()
             index = Index([(i, words(t)) for i, t in rows])
             for batch in batches:
                 for some, arrays in _groups(zip(*(c.to_pylist() for c in batch.columns)), words):
@@ -181,7 +181,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
     def seeds_of(is_item):
         def run(batches):
-            words = Words()
+            words = words_of_worker()
             for batch in batches:
                 for t in batch.column(0).to_pylist():
                     w = words(t)
@@ -207,7 +207,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     ready = keyed.join(pairs, "k").join(b, "bt").select("id", "th", "t", "item", "bt")
 
     def verify(batches):
-        words = Words()
+        words = words_of_worker()
         for batch in batches:
             out = []
             for i, th, t, item, bt in zip(*(c.to_pylist() for c in batch.columns)):
@@ -219,7 +219,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
 
 def _short_lengths(batches):
-    words = Words()
+    words = words_of_worker()
     for batch in batches:
         n = sorted({len(words(t)) for t in batch.column(1).to_pylist()} & set(range(MIN_ITEM, SPAN)))
         yield pa.RecordBatch.from_arrays([pa.array(n, pa.int32())], ["n"])

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, hinted, odd_constants, ship, windows, written
+from .common import words_of_worker, hinted, odd_constants, ship, windows, written
 
 N, THRESHOLD = 3, 0.5
 #: A pair at the threshold shares a band with probability 1 - (1 - 0.5**ROWS)**BANDS = 0.995.
@@ -163,7 +163,7 @@ def trie_join(sets: list[np.ndarray], threshold: float, side: np.ndarray | None
 
 def _signatures(n, bands, rows):
     def run(batches):
-        words = Words()
+        words = words_of_worker()
         for b in batches:
             ids, nodes, digests, keys = [], [], [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -182,7 +182,7 @@ def _signatures(n, bands, rows):
 
 def _sets(n):
     def run(batches):
-        words = Words()
+        words = words_of_worker()
         for b in batches:
             g = [gram_set(words(t), n) for t in b.column(1).to_pylist()]
             nodes = [int.from_bytes(xxhash.xxh3_128_digest(x.tobytes())[:8], "little", signed=True) for x in g]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, plan_bytes, rolling, ship, written
+from .common import words_of_worker, plan_bytes, rolling, ship, written
 
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 #: The shortest passage that is reported.
@@ -113,7 +113,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     buckets = max(8, size // BUCKET_BYTES)
 
     def anchors(batches):
-        words = Words()
+        words = words_of_worker()
         for b in batches:
             rows = [(i, *_anchors(words(t))) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
             yield from _packed(rows, buckets)
@@ -131,7 +131,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         sent = spark.sparkContext.broadcast(np.sort(np.frombuffer(b"".join(r["h"] for r in known.select("h").toLocalIterator()), np.uint64)))
 
         def extend(batches):
-            words, all_ = Words(), sent.value
+            words, all_ = words_of_worker(), sent.value
             for b in batches:
                 rows = []
                 for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -154,7 +154,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         hits = grouped.applyInArrow(places, "id long, p int").groupBy("id").agg(F.collect_set("p").alias("p"))
 
         def extend_joined(batches):
-            words = Words()
+            words = words_of_worker()
             for b in batches:
                 rows = [(i, *_windows_near(words(t), np.array(p, np.int64))) for i, t, p in zip(*(c.to_pylist() for c in b.columns))]
                 yield from _packed(rows, buckets)

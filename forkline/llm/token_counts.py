@@ -15,7 +15,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import Bounded, fresh, ship
+from .common import Bounded, fresh, held, ship
 
 #: Where the vocabulary lies; a parameter of every operator that needs one.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -32,7 +32,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-@lru_cache(8)
+@lru_cache(1)
 def _ranks_of(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line.strip())}
 
@@ -99,14 +99,12 @@ class Splitter:
         return self._whole(text) if total >= ODD else total + self._whole(head)
 
 
-_COUNTERS: dict[bytes, Splitter] = {}
-
-
 def _counter(data: bytes) -> Splitter:
-    if data not in _COUNTERS:
+    def make():
         ranks = _ranks_of(data)
-        _COUNTERS[data] = Splitter(lambda piece: merged_count(piece, ranks))
-    return _COUNTERS[data]
+        return Splitter(lambda piece: merged_count(piece, ranks))
+
+    return held(("counts", data), make)
 
 
 def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 
-from .common import Bounded, ship
+from .common import Bounded, held, ship
 from .token_counts import PATTERN, VOCABULARY, _ranks_of, load
 
 #: A one is sampled for every so many documents of a shard.
@@ -102,8 +102,6 @@ class Encoder:
         return self._ids(text) if None in parts else self._ids(head) + b"".join(parts)
 
 
-_ENCODERS: dict[tuple, Encoder] = {}
-
 SCHEMA = "shard long, doc_ids array<long>, n_tokens long, token_bytes int, ids binary, n_docs int, low_bits int, low binary, high binary, samples binary"
 
 
@@ -124,9 +122,7 @@ def token_shards(docs: DataFrame, vocabulary: str = VOCABULARY, shard_tokens: in
         from pyspark import TaskContext
 
         dtype = np.dtype("<u4" if wide else "<u2")
-        if (data, wide) not in _ENCODERS:
-            _ENCODERS[data, wide] = Encoder(_ranks_of(data), dtype)
-        encode, size = _ENCODERS[data, wide], dtype.itemsize
+        encode, size = held(("shards", data, wide), lambda: Encoder(_ranks_of(data), dtype)), dtype.itemsize
         part, seq = TaskContext.get().partitionId(), 0
         ids, parts, ends, total = [], [], [], 0
 
