@@ -22,31 +22,41 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import Bounded, fresh, ship
+from .common import Bounded, fresh, held, ship
 from .token_counts import PATTERN, VOCABULARY, _ranks_of, load
 
 
-def merge_ids(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
-    """The encoding of a few bytes straight from the merge rules: what defines compatibility."""
-    parts = [piece[i : i + 1] for i in range(len(piece))]
+#: The rank of a pair that doesn't merge.
+NEVER = 1 << 60
+
+#: Rows that are encoded and sent back together.
+SLICE = 1000
+
+
+def merges_of(piece: bytes, ranks: dict[bytes, int], text: dict[int, bytes] | None = None) -> tuple[list[bytes], list[tuple[int, bytes, bytes]]]:
+    """What the merge rules make of a few bytes, and each merge's rank with the first and
+    the last symbol after it."""
+    parts, steps = [piece[i : i + 1] for i in range(len(piece))], []
     while len(parts) > 1:
-        rank, i = min((ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
-        if rank == 1 << 60:
+        rank, i = min((ranks.get(parts[i] + parts[i + 1], NEVER), i) for i in range(len(parts) - 1))
+        if rank == NEVER:
             break
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-    return tuple(ranks[p] for p in parts)
+        parts[i : i + 2] = [text[rank] if text else parts[i] + parts[i + 1]]
+        steps.append((rank, parts[0], parts[-1]))
+    return parts, steps
 
 
 class Transducer:
     """encode() runs the states; `states` and `arcs` grow only by what texts reach, and are
     dropped when they exceed `limit` arcs."""
 
-    def __init__(self, ranks: dict[bytes, int], limit: int = 1_000_000):
+    def __init__(self, ranks: dict[bytes, int], limit: int = 80_000):
         self.ranks, self.limit = ranks, limit
         self.text = {i: b for b, i in ranks.items()}
-        self.starts = {b[:k] for b in ranks for k in range(1, len(b) + 1)}  # the vocabulary's trie, as its nodes' strings
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.alone: dict[int, bool] = {}
+        # The vocabulary's trie as its nodes' strings, with the entry's id or -1.
+        self.trie = {p: ranks.get(p, -1) for p in {b[:k] for b in ranks for k in range(1, len(b) + 1)}}
+        self.pairs: dict[int, bool] = {}
+        self.built: dict[int, list | None] = {}
         self._clear()
 
     def _clear(self) -> None:
@@ -63,48 +73,93 @@ class Transducer:
             self.states.append(key)
         return n
 
+    def _merges(self, token: int) -> list[tuple[int, bytes, bytes]] | None:
+        """The merges that build a token, or None if the rules alone don't lead to it."""
+        if token not in self.built:
+            parts, steps = merges_of(self.text[token], self.ranks, self.text)
+            self.built[token] = steps if len(parts) == 1 else None
+        return self.built[token]
+
     def _fits(self, before: int, token: int) -> bool:
+        """Whether a token may follow another: their own merges run side by side, the lowest
+        rank first and of equal ones the left one, and no merge across the border comes first."""
+        right = self._merges(token)
         if before < 0:
-            ok = self.alone.get(token)
-            if ok is None:
-                ok = self.alone[token] = merge_ids(self.text[token], self.ranks) == (token,)
+            return right is not None
+        key = before << 20 | token
+        ok = self.pairs.get(key)
+        if ok is not None:
             return ok
-        ok = self.pairs.get((before, token))
-        if ok is None:
-            if len(self.pairs) > self.limit:
-                self.pairs.clear()
-            ok = self.pairs[before, token] = merge_ids(self.text[before] + self.text[token], self.ranks) == (before, token)
+        left, a, b, ok = self._merges(before), self.text[before][-1:], self.text[token][:1], True
+        if left is None or right is None:
+            ok = False
+        else:
+            i, j, get = 0, 0, self.ranks.get
+            across = get(a + b, NEVER)
+            while True:
+                x = left[i][0] if i < len(left) else NEVER
+                y = right[j][0] if j < len(right) else NEVER
+                if across < x and across <= y:
+                    ok = False
+                    break
+                if x == y == NEVER:
+                    break
+                if x <= y:
+                    c, i = left[i][2], i + 1
+                    if c != a:
+                        a = c
+                        across = get(a + b, NEVER)
+                else:
+                    c, j = right[j][1], j + 1
+                    if c != b:
+                        b = c
+                        across = get(a + b, NEVER)
+        if len(self.pairs) > self.limit:
+            self.pairs.clear()
+        self.pairs[key] = ok
         return ok
 
     def _step(self, number: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """The state after one more byte, and what is emitted. lasts[i] is the token that
         ends the first i + 1 pending bytes' encoding, or -1 where no open boundary rests on it."""
         before, pending, lasts, opens = self.states[number]
-        pending += bytes([byte])
-        size, last, text, left = len(pending), -1, self.text, []
+        pending += bytes((byte,))
+        size, last, text, trie, left = len(pending), -1, self.text, self.trie, []
         for start in opens:  # the longest candidate first
-            rest = pending[start:]
-            if last < 0 and (token := self.ranks.get(rest)) is not None and self._fits(lasts[start - 1] if start else before, token):
+            token = trie.get(pending[start:])
+            if token is None:  # no entry can go on from here any more
+                continue
+            left.append(start)
+            if last < 0 <= token and self._fits(lasts[start - 1] if start else before, token):
                 last = token
-            if rest in self.starts:  # an entry may still go on from here
-                left.append(start)
-        lasts = (*lasts, last)
+        lasts += (last,)
         left.append(size)  # the newest boundary is always open
-        line, heads = {}, {}  # boundary -> the one that it rests on, and back
+        root, out = left[0], ()
+        if root:  # all open boundaries rest on the tokens up to here
+            for at in left:
+                while root != at:
+                    if root > at:
+                        root -= len(text[lasts[root - 1]])
+                    else:
+                        at -= len(text[lasts[at - 1]])
+            at, back = root, []
+            while at:
+                back.append(lasts[at - 1])
+                at -= len(text[back[-1]])
+            out = tuple(back[::-1])
+        line = set()
         for at in left:
-            while at > 0 and at not in line:
-                line[at] = at - len(text[lasts[at - 1]])
-                heads.setdefault(line[at], []).append(at)
-                at = line[at]
-        root, out = 0, ()
-        while root != left[0] and len(heads[root]) == 1:  # all open boundaries rest on this token
-            root = heads[root][0]
-            out += (lasts[root - 1],)
-        if size - root == 1 or len(line) == size:
+            while at > root and at not in line:
+                line.add(at)
+                at -= len(text[lasts[at - 1]])
+        if len(line) < size - root:
+            lasts = tuple([lasts[i] if i + 1 in line else -1 for i in range(root, size)])
+        elif root:
             lasts = lasts[root:]
+        if root:
+            key = (out[-1], pending[root:], lasts, tuple([at - root for at in left]))
         else:
-            lasts = tuple([lasts[i] if i + 1 in line else -1 for i in range(root, size)])
-        key = (out[-1] if out else before, pending[root:], lasts, tuple([at - root for at in left]) if root else tuple(left))
+            key = (before, pending, lasts, tuple(left))
         return self._state(key), out
 
     def _end(self, number: int) -> tuple[int, ...]:
@@ -213,8 +268,8 @@ class Codec:
     def __init__(self, data: bytes):
         ranks = _ranks_of(data)
         self.transduce, self.decode, self.find = Transducer(ranks).encode, Decoder(ranks), regex.compile(PATTERN).findall
-        self.memo = Bounded(self._of_piece)
-        self.tokens = Bounded(lambda t: array("i", self.transduce(t.encode("utf-8", "surrogatepass"))).tobytes())
+        self.memo = Bounded(self._of_piece, 200_000)
+        self.tokens = Bounded(lambda t: array("i", self.transduce(t.encode("utf-8", "surrogatepass"))).tobytes(), 600_000)
 
     def _ids(self, text: str) -> bytes:
         return b"".join(map(self.tokens.__getitem__, self.find(text)))
@@ -230,13 +285,8 @@ class Codec:
         return self._ids(text) if None in parts else self._ids(head) + b"".join(parts)
 
 
-_CODECS: dict[bytes, Codec] = {}
-
-
 def _codec(data: bytes) -> Codec:
-    if data not in _CODECS:
-        _CODECS[data] = Codec(data)
-    return _CODECS[data]
+    return held(("codec", data), lambda: Codec(data))
 
 
 def bpe_encode(docs: DataFrame, vocabulary: str = VOCABULARY, text_col: str = "text", verify: bool = True) -> DataFrame:
@@ -253,7 +303,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str = VOCABULARY, text_col: str = "t
 
     def run(batches):
         codec = _codec(data)
-        for b in batches:
+        for b in (whole.slice(k, SLICE) for whole in batches for k in range(0, whole.num_rows, SLICE)):
             texts = b.column(at).to_pylist()
             parts = [b"" if t is None else codec.encode(t) for t in texts]
             ends = [0, *accumulate(len(p) // 4 for p in parts)]
