@@ -50,7 +50,7 @@ class Transducer:
     """encode() runs the states; `states` and `arcs` grow only by what texts reach, and are
     dropped when they exceed `limit` arcs."""
 
-    def __init__(self, ranks: dict[bytes, int], limit: int = 80_000):
+    def __init__(self, ranks: dict[bytes, int], limit: int = 120_000):
         self.ranks, self.limit = ranks, limit
         self.text = {i: b for b, i in ranks.items()}
         # The vocabulary's trie as its nodes' strings, with the entry's id or -1.
@@ -268,8 +268,8 @@ class Codec:
     def __init__(self, data: bytes):
         ranks = _ranks_of(data)
         self.transduce, self.decode, self.find = Transducer(ranks).encode, Decoder(ranks), regex.compile(PATTERN).findall
-        self.memo = Bounded(self._of_piece, 200_000)
-        self.tokens = Bounded(lambda t: array("i", self.transduce(t.encode("utf-8", "surrogatepass"))).tobytes(), 600_000)
+        self.memo = Bounded(self._of_piece, 300_000)
+        self.tokens = Bounded(lambda t: array("i", self.transduce(t.encode("utf-8", "surrogatepass"))).tobytes(), 1_000_000)
 
     def _ids(self, text: str) -> bytes:
         return b"".join(map(self.tokens.__getitem__, self.find(text)))
