@@ -3,8 +3,15 @@
 A mask is a pattern of positions within a short span; the words at its positions are
 hashed and the others ignored, so a substituted word spoils a seed only where the mask
 looks. Test and training hashes are joined; around each hit the benchmark item and the
-document are laid on one diagonal and the best-scoring stretch is verified, in which some
-words may differ.
+document are laid on one diagonal, and it is verified that a stretch meets the definition
+of an overlap, in which some words may differ.
+
+The masks miss no overlap. One of 36 words or more has a shorter one as its part. One of
+18 to 35 words has ten successive words of which at most two are substituted, as the whole
+of an item of 10 to 14 words has. Those ten are five pairs, of which three are untouched:
+PAIRS has each choice of three pairs, but for shifts. Of 15 to 17 words three may be
+substituted; if all three are in each ten words, the first and last five are untouched
+(ENDS). Of 5 to 9 words one may be substituted, and SHORT leaves out each of the first five.
 """
 
 from __future__ import annotations
@@ -16,28 +23,37 @@ from pyspark.sql import functions as F
 
 from .common import Words, words_of_worker, hinted, odd_constants, ship, small, written
 
-#: Positions that each mask looks at.
-MASKS = ((0, 1, 3, 4, 6, 9, 10, 12), (0, 2, 3, 5, 8, 9, 11, 12), (0, 1, 4, 6, 7, 8, 11, 12), (0, 1, 2, 3, 4, 5, 6, 7))
-SPAN = 13
+#: Positions that each mask looks at, and the least and most words of the items that it is for.
+PAIRS = ((0, 1, 2, 3, 4, 5), (0, 1, 2, 3, 6, 7), (0, 1, 4, 5, 6, 7), (0, 1, 2, 3, 8, 9), (0, 1, 6, 7, 8, 9), (0, 1, 4, 5, 8, 9))
+ENDS = (0, 1, 2, 3, 4, 10, 11, 12, 13, 14)
+SHORT = ((0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 4), (0, 2, 3, 4))
+MASKS = (*((m, 10, None) for m in PAIRS), (ENDS, 15, 17), *((m, 5, 9) for m in SHORT))
+SPAN = 15
 
 #: A stretch is an overlap if it has so many words (or the whole item, if that is shorter) ...
 MIN_WORDS = 18
 #: ... of which so many are equal.
 MIN_SHARE = 0.8
+_STEPS = (1, -4)  # of an equal and a substituted word; a stretch has MIN_SHARE where they sum to 0 or more
 #: Items with fewer words are too common to search for.
 MIN_ITEM = 5
-#: Each equal word of a stretch adds 1, each substituted one takes so much.
+#: For the stretch that is reported each equal word adds 1, each substituted one takes so much.
 PENALTY = 2.0
 
 
-def _seeds(words: np.ndarray, masks: list[tuple[int, ...]], wanted=None) -> list[np.ndarray]:
-    """For each mask the hash of every position: sums of words times a constant of the offset."""
-    offsets = sorted({k for m in masks for k in m})
+#: Positions that are verified, or hits that are listed, at once.
+AT_ONCE = 1 << 20
+
+
+def _seeds(words: np.ndarray, wanted: list[int]) -> list[np.ndarray]:
+    """For each wanted mask the hash of every position: sums of words times a constant of the offset."""
+    offsets = {k for which in wanted for k in MASKS[which][0]}
     scaled = {k: words * a for k, a in enumerate(odd_constants(SPAN, 77)) if k in offsets}
     out = []
-    for which, mask in enumerate(masks):
+    for which in wanted:
+        mask = MASKS[which][0]
         m = len(words) - mask[-1]
-        if m <= 0 or wanted is not None and which not in wanted:
+        if m <= 0:
             out.append(np.empty(0, np.uint64))
             continue
         total = scaled[mask[0]][mask[0] : mask[0] + m] + np.uint64(which + 1)
@@ -47,9 +63,9 @@ def _seeds(words: np.ndarray, masks: list[tuple[int, ...]], wanted=None) -> list
     return out
 
 
-def _masks(items: list[np.ndarray]) -> list[tuple[int, ...]]:
-    """The spaced masks, and a solid one of its own length for each item too short for them."""
-    return [*MASKS, *(tuple(range(n)) for n in sorted({len(w) for w in items if MIN_ITEM <= len(w) < SPAN}))]
+def _own_masks(n: int) -> list[int]:
+    """The masks for an item of n words."""
+    return [k for k, (_, least, most) in enumerate(MASKS) if n >= least and (most is None or n <= most)]
 
 
 def best_stretch(equal: np.ndarray) -> tuple[int, int]:
@@ -61,32 +77,55 @@ def best_stretch(equal: np.ndarray) -> tuple[int, int]:
     return start, end
 
 
+def allowed_stretch(equal: np.ndarray, least: int) -> tuple[int, int] | None:
+    """Start and end of the stretch of at least `least` words that is most above MIN_SHARE,
+    of equal ones the first; None if each is below it."""
+    if len(equal) < least:
+        return None
+    total = np.concatenate([[0], np.cumsum(np.where(equal, *_STEPS))])
+    low = np.minimum.accumulate(total[: len(total) - least])
+    above = total[least:] - low
+    k = int(np.argmax(above))
+    if above[k] < 0:
+        return None
+    return int(np.flatnonzero(total[: k + 1] == low[k])[-1]), k + least
+
+
 def overlap(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int, int] | None:
-    """(doc start, item start, words, equal words) of the verified stretch on one diagonal."""
+    """(doc start, item start, words, equal words) of the verified stretch on one diagonal:
+    the best-scoring one, or if that is no overlap, the one most above MIN_SHARE."""
     first, last = max(0, -shift), min(len(item), len(doc) - shift)
     if last <= first:
         return None
     equal = doc[first + shift : last + shift] == item[first:last]
+    least = min(MIN_WORDS, len(item))
     start, end = best_stretch(equal)
-    n, same = end - start, int(equal[start:end].sum())
-    if n < min(MIN_WORDS, len(item)) or same < MIN_SHARE * n:
-        return None
-    return first + start + shift, first + start, n, same
+    if end - start < least or equal[start:end].sum() < MIN_SHARE * (end - start):
+        found = allowed_stretch(equal, least)
+        if found is None:
+            return None
+        start, end = found
+    return first + start + shift, first + start, end - start, int(equal[start:end].sum())
 
 
 class Index:
     """Seeds of all items: a bitmap to pass most positions by, then sorted hashes."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]]):
-        self.items, self.masks = items, _masks([w for _, w in items])
-        seeds = [_seeds(w, self.masks, _own_masks(w, self.masks)) for _, w in items]
+        self.items = items
+        self.lengths = np.array([len(w) for _, w in items], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.flat = np.concatenate([np.empty(0, np.uint64), *(w for _, w in items)])
+        own = [_own_masks(len(w)) for _, w in items]
+        self.masks = sorted({k for ks in own for k in ks})
+        seeds = [dict(zip(ks, _seeds(w, ks))) for (_, w), ks in zip(items, own)]
         self.tables = []
-        for which in range(len(self.masks)):
-            own = [s[which] for s in seeds]
-            h = np.concatenate([np.empty(0, np.uint64), *own])
+        for which in self.masks:
+            some = [(i, s[which]) for i, s in enumerate(seeds) if which in s]
+            h = np.concatenate([s for _, s in some])
             order = np.argsort(h, kind="stable")
-            owner = np.repeat(np.arange(len(own)), [len(s) for s in own])[order]
-            place = np.concatenate([np.empty(0, np.int64), *(np.arange(len(s)) for s in own)])[order]
+            owner = np.repeat([i for i, _ in some], [len(s) for _, s in some])[order]
+            place = np.concatenate([np.arange(len(s)) for _, s in some])[order]
             bits = max(16, int(len(h)).bit_length() + 5)
             bitmap = np.zeros(1 << bits, bool)
             bitmap[(h >> np.uint64(64 - bits)).astype(np.int64)] = True
@@ -97,27 +136,64 @@ class Index:
         document and item the best stretch. The documents are hashed as one array; a seed
         over the border of two is a candidate like any other, and verified within the one
         in which it starts."""
-        borders = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
-        diagonals: set[tuple[int, int, int]] = set()
-        for s, (h, owner, place, bitmap, drop) in zip(_seeds(np.concatenate(docs), self.masks), self.tables):
-            if not len(h) or not len(s):
-                continue
+        if not self.masks or not docs:
+            return []
+        text, lengths = np.concatenate(docs), np.array([len(d) for d in docs], np.int64)
+        borders = np.concatenate([[0], np.cumsum(lengths)])
+        diagonals: list[np.ndarray] = []
+        for s, (h, owner, place, bitmap, drop) in zip(_seeds(text, self.masks), self.tables):
             near = np.flatnonzero(bitmap[(s >> drop).astype(np.int64)])
             lo, hi = np.searchsorted(h, s[near], "left"), np.searchsorted(h, s[near], "right")
             near, lo, hi = near[hi > lo], lo[hi > lo], hi[hi > lo]
-            doc = np.searchsorted(borders, near, "right") - 1
-            for d, p, a, b in zip(doc.tolist(), (near - borders[doc]).tolist(), lo.tolist(), hi.tolist()):
-                diagonals.update((d, int(owner[k]), p - int(place[k])) for k in range(a, b))
+            for a, b in _slices(hi - lo):
+                n = hi[a:b] - lo[a:b]
+                k = np.arange(n.sum()) + np.repeat(lo[a:b] - (np.cumsum(n) - n), n)
+                at = np.repeat(near[a:b], n)
+                d = np.searchsorted(borders, at, "right") - 1
+                diagonals.append(self._possible(text, borders, lengths, np.unique(np.stack([d, owner[k], at - borders[d] - place[k]], 1), axis=0)))
+        found_ = np.unique(np.concatenate([np.empty((0, 3), np.int64), *diagonals]), axis=0).tolist()
         best: dict[tuple[int, int], tuple] = {}
-        for d, i, shift in diagonals:
+        for d, i, shift in found_:
             found = overlap(docs[d], self.items[i][1], shift)
             if found and ((d, i) not in best or (-found[3], found[0], found[1]) < (-best[d, i][3], best[d, i][0], best[d, i][1])):
                 best[d, i] = found
         return [(d, self.items[i][0], *v) for (d, i), v in sorted(best.items())]
 
-
-def _own_masks(item: np.ndarray, masks: list[tuple[int, ...]]) -> list[int]:
-    return [k for k, m in enumerate(masks) if (len(item) >= SPAN if k < len(MASKS) else len(item) == len(m))]
+    def _possible(self, text: np.ndarray, borders: np.ndarray, lengths: np.ndarray, diagonals: np.ndarray) -> np.ndarray:
+        """Those of the rows (document, item, shift) that have an overlap, as overlap() finds it."""
+        d, i, shift = diagonals.T
+        first, last = np.maximum(0, -shift), np.minimum(self.lengths[i], lengths[d] - shift)
+        least = np.minimum(MIN_WORDS, self.lengths[i])
+        keep = np.flatnonzero(last - first >= least)
+        good = []
+        for a, b in _slices((last - first)[keep] + 1):
+            k = keep[a:b]
+            n = (last - first)[k]
+            ends = np.cumsum(n + 1)  # each with a zero before its first word
+            starts, offset = ends - n - 1, np.repeat(np.arange(len(k)), n + 1)
+            inner = np.ones(ends[-1], bool)
+            inner[starts] = False
+            step = np.arange(ends[-1]) - starts[offset] - 1
+            at, of = (first[k] + self.starts[i[k]])[offset] + step, (first[k] + shift[k] + borders[d[k]])[offset] + step
+            sums = np.zeros(ends[-1], np.int64)
+            sums[inner] = np.where(text[of[inner]] == self.flat[at[inner]], *_STEPS)
+            sums = np.cumsum(sums)
+            sums -= sums[starts][offset]
+            fall = -offset * (6 * int(n.max()) + 1)  # so that the minimum begins anew with each
+            low = np.minimum.accumulate(sums + fall)
+            whole = np.flatnonzero(step + 1 >= least[k][offset])
+            ok = sums[whole] + fall[whole] >= low[whole - least[k][offset[whole]]]
+            good.append(k[np.unique(offset[whole[ok]])])
+        return diagonals[np.concatenate([np.empty(0, np.int64), *good])]
+
+
+def _slices(sizes: np.ndarray):
+    """Runs (start, end) of entries with about AT_ONCE together; a larger one is alone."""
+    ends, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, "right")))
+        yield at, stop
+        at = stop
 
 
 def _groups(rows, words: Words, most: int = 1 << 18):
@@ -176,8 +252,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
         return d.mapInArrow(run, OUT)
 
-    lengths = sorted(r[0] for r in b.mapInArrow(_short_lengths, "n int").distinct().collect())  # at most SPAN - MIN_ITEM values
-    masks = [*MASKS, *(tuple(range(n)) for n in lengths)]
+    masks = sorted(r[0] for r in b.mapInArrow(_masks_of, "mask int").distinct().collect())  # at most len(MASKS) values
 
     def seeds_of(is_item):
         def run(batches):
@@ -185,7 +260,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
             for batch in batches:
                 for t in batch.column(0).to_pylist():
                     w = words(t)
-                    h = np.unique(np.concatenate(_seeds(w, masks, _own_masks(w, masks) if is_item else None)))
+                    h = np.unique(np.concatenate([np.empty(0, np.uint64), *_seeds(w, _own_masks(len(w)) if is_item else masks)]))
                     if len(h):
                         yield pa.RecordBatch.from_arrays([pa.array([t] * len(h), pa.string()) if is_item else pa.array(np.full(len(h), xxh(t), np.int64)), pa.array(h.view(np.int64))], ["k", "h"])
 
@@ -218,11 +293,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     return ready.mapInArrow(verify, OUT)
 
 
-def _short_lengths(batches):
+def _masks_of(batches):
     words = words_of_worker()
     for batch in batches:
-        n = sorted({len(words(t)) for t in batch.column(1).to_pylist()} & set(range(MIN_ITEM, SPAN)))
-        yield pa.RecordBatch.from_arrays([pa.array(n, pa.int32())], ["n"])
+        masks = sorted({k for t in batch.column(1).to_pylist() for k in _own_masks(len(words(t)))})
+        yield pa.RecordBatch.from_arrays([pa.array(masks, pa.int32())], ["mask"])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

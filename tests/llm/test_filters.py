@@ -150,3 +150,41 @@ def test_decontamination(spark, docs, odd_rows, prose, index_items):
 def test_best_stretch():
     assert D.best_stretch(np.array([1, 0, 0, 1, 1, 0, 1, 1, 1], bool)) in ((3, 9), (6, 9))
     assert D.best_stretch(np.array([0, 0], bool))[0] == D.best_stretch(np.array([0, 0], bool))[1]
+
+
+def meets_definition(doc, item):
+    """Some stretch of 18 words, or of all of a shorter item, on some diagonal has four of five equal."""
+    least = min(18, len(item))
+    for shift in range(-len(item) + 1, len(doc)):
+        equal = [doc[k + shift] == item[k] for k in range(max(0, -shift), min(len(item), len(doc) - shift))]
+        total = [0, *np.cumsum(equal).tolist()]
+        if any(5 * (total[b] - total[a]) >= 4 * (b - a) for a in range(len(equal)) for b in range(a + least, len(equal) + 1)):
+            return True
+    return False
+
+
+@pytest.mark.parametrize("n", [5, 6, 8, 9, 10, 12, 14, 15, 16, 17, 18, 19, 20, 22, 25, 30, 34, 35, 36, 47])
+def test_no_overlap_is_missed(n):
+    rng = np.random.default_rng(n)
+    items = [(k, rng.integers(1, 1 << 62, n, dtype=np.uint64)) for k in range(12)]
+    index, texts = D.Index(items), []
+    for k, item in items:
+        for rate in (0.05, 0.1, 0.15, 0.2, 0.25):
+            changed = np.where(rng.random(n) < rate, np.uint64(1 << 63), item)
+            texts.append((k, np.concatenate([rng.integers(1, 1 << 62, k % 4, dtype=np.uint64), changed, rng.integers(1, 1 << 62, k % 3, dtype=np.uint64)])))
+    got = index.search([t for _, t in texts])
+    assert {(d, i) for d, i, *_ in got} == {(d, k) for d, (k, t) in enumerate(texts) if meets_definition(t.tolist(), items[k][1].tolist())}
+    for d, i, at, start, words, same in got:
+        assert words >= min(18, n) and 5 * same >= 4 * words and same == int((texts[d][1][at : at + words] == items[i][1][start : start + words]).sum())
+
+
+@pytest.mark.parametrize("index_items", [200_000, 0])
+def test_an_edge_word_may_differ(spark, docs, prose, index_items):
+    items, rows = [], []
+    for n in (5, 9, 12, 15, 16, 18, 19):
+        words = prose(n, 800 + n)
+        items.append((n, " ".join(words)))
+        for k in (0, 1, n - 2, n - 1):
+            rows.append((100 * n + k, " ".join(["before", *words[:k], "changed", *words[k + 1 :], "after"])))
+    got = D.overlaps(docs(rows), spark.createDataFrame(items, "item_id long, text string"), index_items=index_items).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} >= {(i, i // 100) for i, _ in rows}
