@@ -100,3 +100,15 @@ def test_server(spark):
     with pytest.raises(urllib.error.HTTPError):
         ask("GET", f"/{n}")
     s.shutdown()
+
+
+def test_bulk_load_takes_all_orders(spark, data, monkeypatch):
+    from forkline import versioning
+    from forkline.plans import versioned
+
+    loaded, load = [], copying.copy_from
+    monkeypatch.setattr(copying, "copy_from", lambda catalog, *how: (load(catalog, *how), loaded.append(catalog)))
+    versioned.bulk_load(spark, data)
+    want = spark.read.parquet(f"{data}/orders.parquet").select("o_orderkey")
+    got = versioning.resolve(loaded[0], "orders").select("o_orderkey")
+    assert got.count() == want.count() and got.exceptAll(want).count() == 0
