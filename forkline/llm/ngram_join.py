@@ -29,12 +29,22 @@ BANDS, ROWS = 40, 3
 PART = 1000
 
 
-def gram_set(words: np.ndarray, n: int = N) -> np.ndarray:
-    """The sorted distinct n-gram hashes, 32 bits each; a text of fewer words is one gram."""
+def wide_gram_set(words: np.ndarray, n: int = N) -> np.ndarray:
+    """The sorted distinct n-gram hashes, 64 bits each; a text of fewer words is one gram."""
     if 0 < len(words) < n:
         words, n = words, len(words)
-    g = windows(words, n, 11) >> np.uint64(32)
-    return np.unique(g.astype(np.uint32))
+    return np.unique(windows(words, n, 11))
+
+
+def short_grams(grams: np.ndarray) -> np.ndarray:
+    """The upper halves of sorted hashes, each once: for the min-hash, which may take two grams for one."""
+    g = (grams >> np.uint64(32)).astype(np.uint32)
+    return g[np.diff(g, prepend=g[:1] + np.uint32(1)) != 0]
+
+
+def gram_set(words: np.ndarray, n: int = N) -> np.ndarray:
+    """The sorted distinct n-gram hashes cut to 32 bits."""
+    return short_grams(wide_gram_set(words, n))
 
 
 def band_keys(grams: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
@@ -167,13 +177,13 @@ def _signatures(n, bands, rows):
         for b in batches:
             ids, nodes, digests, keys = [], [], [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                g = gram_set(words(t), n)
+                g = wide_gram_set(words(t), n)
                 if len(g):
                     digest = xxhash.xxh3_128_digest(g.tobytes())
                     ids.append(i)
                     digests.append(digest)
                     nodes.append(int.from_bytes(digest[:8], "little", signed=True))
-                    keys.append(band_keys(g, bands, rows).view(np.int64))
+                    keys.append(band_keys(short_grams(g), bands, rows).view(np.int64))
             flat = np.concatenate([np.empty(0, np.int64), *keys])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * bands), pa.array(flat))], ["id", "node", "keys"])
 
@@ -184,7 +194,7 @@ def _sets(n):
     def run(batches):
         words = words_of_worker()
         for b in batches:
-            g = [gram_set(words(t), n) for t in b.column(1).to_pylist()]
+            g = [wide_gram_set(words(t), n) for t in b.column(1).to_pylist()]
             nodes = [int.from_bytes(xxhash.xxh3_128_digest(x.tobytes())[:8], "little", signed=True) for x in g]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), pa.array([x.tobytes() for x in g], pa.binary())], ["id", "node", "grams"])
 
@@ -223,7 +233,7 @@ def similar_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_c
         nodes, right, grams = table.column("node").to_pylist(), table.column("right").to_pylist(), table.column("grams")
         a, b, j = [], [], []
         for (ll, lp, hl, hp), rows_ in by_task.items():
-            sets_ = [np.frombuffer(grams[k].as_py(), np.uint32) for k in rows_]
+            sets_ = [np.frombuffer(grams[k].as_py(), np.uint64) for k in rows_]
             side = None if (ll, lp) == (hl, hp) else np.array([right[k] for k in rows_])
             for x, y, o in trie_join(sets_, threshold, side):
                 u, v = nodes[rows_[x]], nodes[rows_[y]]

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from forkline.llm import line_dedup, substring_dedup
@@ -214,3 +215,20 @@ def test_window_hashes_tell_windows_apart():
         for p in range(len(h)):
             assert seen.setdefault(tuple(w[p : p + 3].tolist()), h[p]) == h[p]
         assert len(set(seen.values())) == len(seen)
+
+
+def test_grams_that_share_32_bits_are_two(monkeypatch):
+    """Two texts whose gram hashes differ only in the lower half aren't equal sets."""
+    from forkline.llm import ngram_join
+
+    one = np.array([(7 << 32) + 1, (9 << 32) + 5], np.uint64)
+    other = np.array([(7 << 32) + 2, (9 << 32) + 6], np.uint64)
+    assert ngram_join.short_grams(one).tolist() == ngram_join.short_grams(other).tolist() == [7, 9]
+    assert ngram_join.short_grams(np.array([1, 2, 1 << 32, (1 << 32) + 1], np.uint64)).tolist() == [0, 1]
+    monkeypatch.setattr(ngram_join, "words_of_worker", lambda: lambda text: text)
+    monkeypatch.setattr(ngram_join, "windows", lambda words, n, seed: one if words == "one" else other)
+    table = pa.table([pa.array([1, 2]), pa.array(["one", "other"])], ["id", "t"]).to_batches()
+    (signed,), (sets,) = ngram_join._signatures(1, 4, 3)(table), ngram_join._sets(1)(table)
+    assert signed.column(1) == sets.column(1) and len(set(signed.column(1).to_pylist())) == 2
+    assert signed.column(2)[0].as_py() == signed.column(2)[1].as_py()
+    assert [np.frombuffer(x, np.uint64).tolist() for x in sets.column(2).to_pylist()] == [one.tolist(), other.tolist()]
