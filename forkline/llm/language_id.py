@@ -85,6 +85,8 @@ class Model:
 
     def decode(self, means: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The index of the codeword of least weighted loss, and how much worse the next is."""
+        if not self.languages:
+            return np.zeros(len(means), int), np.zeros(len(means))
         votes = means * self.scale
         loss = np.stack([(np.logaddexp(0, -votes * c) * self.trust).sum(1) for c in self.code], 1) / self.trust.sum()
         if loss.shape[1] == 1:
@@ -120,17 +122,22 @@ def fit(texts: list[str], langs: list[str], seed: int = 5) -> Model:
     return Model(names, code, weights, scale, np.maximum(2 * right - 1, 0.01))
 
 
+#: What training without labelled rows gives: no language, so that every text is ambiguous.
+UNTRAINED = Model((), np.empty((0, 0)), np.empty((0, BUCKETS + 1), np.float32), np.empty(0), np.empty(0))
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = 500) -> Model:
     """Fit on a bounded sample of labelled rows: of each language the `rows_per_language`
     rows whose ids have the smallest hashes. That bound is the only thing sampled. The ids
-    are chosen without reading any text; rows without id, language or text aren't used."""
+    are chosen without reading any text; rows without id, language or text aren't used. If
+    that leaves no row, the model knows no language."""
     known = docs.select(docs[id_col].alias("id"), docs[lang_col].alias("lang")).dropna().withColumn("h", F.xxhash64("id"))
     first = known.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("n") <= rows_per_language).select("id", "lang").distinct()
     chosen = [(r["id"], r["lang"]) for r in first.collect()]  # languages x rows_per_language
     pairs = F.broadcast(docs.sparkSession.createDataFrame(chosen, first.schema))
     rows = docs.select(docs[id_col].alias("id"), docs[lang_col].alias("lang"), docs[text_col].alias("t")).where(F.length("t") > 0).join(pairs, ["id", "lang"])
     got = sorted((r["lang"], r["id"], r["t"]) for r in rows.select("lang", "id", "t").toLocalIterator())
-    return fit([t for _, _, t in got], [x for x, _, _ in got])
+    return fit([t for _, _, t in got], [x for x, _, _ in got]) if got else UNTRAINED
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", min_margin: float = 0.02) -> DataFrame:
@@ -139,18 +146,19 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", min_margin:
 
     A text is ambiguous if its margin is under `min_margin`, or if it has no three bytes to
     judge by: null, empty and tiny texts have a null language, a null margin and true. Ties
-    go to the language first in the alphabet. One narrow stage without a shuffle.
+    go to the language first in the alphabet. With a model that knows no language every text
+    is treated so. One narrow stage without a shuffle.
     """
     ship(docs.sparkSession)
     at = docs.columns.index(text_col)
     names = [fresh("language", docs), fresh("margin", docs), fresh("ambiguous", docs)]
 
     def run(batches):
-        words = np.array(model.languages, object)
+        words = np.array(model.languages or (None,), object)
         for b in batches:
             means, grams = model.scores(b.column(at).cast(pa.large_string()).cast(pa.large_binary()).fill_null(b""))
             best, margin = model.decode(means)
-            none = grams == 0
+            none = (grams == 0) | (not model.languages)
             out = [pa.array(words[best].tolist(), pa.string(), mask=none), pa.array(margin, pa.float64(), mask=none), pa.array(none | (margin < min_margin))]
             yield pa.RecordBatch.from_arrays([*b.columns, *out], [*b.schema.names, *names])
 

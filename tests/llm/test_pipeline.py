@@ -67,3 +67,12 @@ def test_stages_keep_odd_rows(spark, docs, odd_rows, tmp_path):
             assert out.columns == df.columns
         n = len(odd_rows) - (name == "exact_dedup")
         assert out.count() == n, name
+
+
+@pytest.mark.parametrize("rows", [[], [(1, "a text without a label", None, "s", 1), (2, None, "en", "s", 0), (3, "", "en", "s", 0)]])
+def test_language_stage_without_labelled_rows(spark, docs, rows):
+    df = docs(rows)
+    out = L.identify(df, L.train(df)).collect()
+    assert sorted((r["doc_id"], r["language"], r["margin"], r["ambiguous"]) for r in out) == [(i, None, None, True) for i, *_ in rows]
+    kept = dict(corpus_pipeline.STAGES)["language_id"](spark, df, None)
+    assert kept.columns == df.columns and kept.count() == 0
