@@ -15,8 +15,9 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ROOT = Path(__file__).resolve().parents[2]
 
@@ -97,6 +98,19 @@ def hinted(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if small(df, rows) else df
 
 
+def id_longs(df: DataFrame, col: str) -> Column:
+    """The column of ids as longs. Operators that sort and pack ids take whole numbers only:
+    ids of another type are refused before any job runs, rather than cut or dropped."""
+    if not isinstance(df.schema[col].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        raise TypeError(f"ids must be whole numbers; {col} is {df.schema[col].dataType.simpleString()}: number the rows first")
+    return df[col].cast("long")
+
+
+def text_bytes(df: DataFrame, col: str) -> int:
+    """The bytes of all texts, counted (a plan's estimate is far off after a join)."""
+    return int(df.agg(F.sum(F.octet_length(df[col]))).first()[0] or 0)
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Estimated bytes of the frame's source, without a job; 0 if the planner can't tell."""
     n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -79,14 +79,19 @@ def _secrets_sql() -> str:
 _WORDS = r"list_filter(list_transform(regexp_split_to_array(text, '\s+'), lambda x: regexp_replace(lower(x), '[^\p{L}\p{N}]', '', 'g')), lambda x: x <> '')"
 
 _JACCARD = f"""
-WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents WHERE text IS NOT NULL),
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS ws FROM documents WHERE text IS NOT NULL),
 s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(ws) < {N} THEN [array_to_string(ws, ' ')]
       ELSE list_transform(range(0, len(ws) - {N - 1}), lambda p: array_to_string(list_slice(ws, p + 1, p + {N}), ' ')) END)) AS g FROM w WHERE len(ws) > 0),
-n AS (SELECT g, min(doc_id) AS name FROM s GROUP BY g),
+n AS (SELECT g, min(doc_id) AS name, count(DISTINCT doc_id) AS copies FROM s GROUP BY g),
 e AS (SELECT name, len(g) AS size, unnest(g) AS gram FROM n),
-o AS (SELECT a.name AS doc_a, b.name AS doc_b, count(*) AS shared, any_value(a.size + b.size) AS sizes FROM e a JOIN e b ON a.gram = b.gram AND a.name < b.name GROUP BY ALL)
-SELECT doc_a, doc_b, shared / (sizes - shared) AS jaccard FROM o WHERE shared >= {THRESHOLD} * (sizes - shared)
-UNION ALL SELECT name, doc_id, 1.0 FROM s JOIN n USING (g) WHERE doc_id > name
+o AS (SELECT a.name AS a, b.name AS b, count(*) AS shared, any_value(a.size + b.size) AS sizes FROM e a JOIN e b ON a.gram = b.gram AND a.name < b.name GROUP BY ALL),
+p AS (SELECT a, b FROM o WHERE shared >= {THRESHOLD} * (sizes - shared)),
+t AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT DISTINCT a AS name, a AS root FROM t UNION SELECT t.b, r.root FROM r JOIN t ON r.name = t.a),
+c AS (SELECT name, min(root) AS class_id FROM r GROUP BY name),
+l AS (SELECT a AS name, sum(copies) AS links FROM t JOIN n ON t.b = n.name GROUP BY a)
+SELECT d.doc_id, coalesce(class_id, name, d.doc_id) AS class_id, CAST(coalesce(links, 0) + coalesce(copies, 1) - 1 AS BIGINT) AS n_links
+FROM documents d LEFT JOIN s ON d.doc_id = s.doc_id LEFT JOIN n USING (g) LEFT JOIN c USING (name) LEFT JOIN l USING (name)
 """
 
 _LINES = f"""

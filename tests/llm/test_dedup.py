@@ -6,11 +6,12 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from forkline.llm import line_dedup, substring_dedup
+from forkline.llm import line_dedup, ngram_join, substring_dedup
 from forkline.llm.common import Words, normal_word, rolling, windows
 from forkline.llm.exact_dedup import exact_dedup
-from forkline.llm.ngram_join import components, gram_set, near_dedup, ngram_jaccard_join, trie_join
+from forkline.llm.ngram_join import components, near_dedup, ngram_jaccard_join, trie_join
 
 
 def key(r):
@@ -39,20 +40,45 @@ def test_a_text_with_many_copies_is_spread(docs):
 
 
 def jaccard_pairs(rows, n=3, t=0.5):
-    words = Words()
+    """The sets of word n-grams with the ids that have each, and the pairs of sets at t or more."""
     nodes = {}
     for i, text, *_ in rows:
-        if i is not None and text and len(words(text)):
-            nodes.setdefault(gram_set(words(text), n).tobytes(), set()).add(i)
-    out, sets = {}, [(min(v), np.frombuffer(k, np.uint32)) for k, v in nodes.items()]
-    for v in nodes.values():
-        out.update({(min(v), i): 1.0 for i in v if i != min(v)})
-    for x, (a, s) in enumerate(sets):
-        for b, u in sets[:x]:
-            same = len(np.intersect1d(s, u))
-            if a != b and same >= t * (len(s) + len(u) - same):
-                out[min(a, b), max(a, b)] = same / (len(s) + len(u) - same)
-    return out
+        words = ["".join(c for c in w if c.isalnum()).lower() for w in (text or "").split()]
+        words = [w for w in words if w]
+        if i is not None and words:
+            grams = {tuple(words[k : k + n]) for k in range(max(1, len(words) - n + 1))}
+            nodes.setdefault(frozenset(grams), set()).add(i)
+    sets, pairs = list(nodes.items()), {}
+    for x, (s, a) in enumerate(sets):
+        for u, b in sets[:x]:
+            same = len(s & u)
+            if same >= t * (len(s) + len(u) - same):
+                pairs[s, u] = same / (len(s) + len(u) - same)
+    return nodes, pairs
+
+
+def jaccard_classes(rows, n=3, t=0.5):
+    """(class, links) of every row, by brute force."""
+    nodes, pairs = jaccard_pairs(rows, n, t)
+    links, root = {s: len(v) - 1 for s, v in nodes.items()}, {s: s for s in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        links[a] += len(nodes[b])
+        links[b] += len(nodes[a])
+        root[find(a)] = find(b)
+    least = {}
+    for s, v in nodes.items():
+        least[find(s)] = min([least.get(find(s), min(v)), *v])
+    out = []
+    for i, text, *_ in rows:
+        own = [s for s, v in jaccard_pairs([(i, text)], n, t)[0].items()]
+        out.append((i, least[find(own[0])], links[own[0]]) if own else (i, i, 0))
+    return Counter(out)
 
 
 def family(prose, base, copies, rate, seed):
@@ -82,28 +108,58 @@ def test_trie_join_is_exact():
         assert got == want
 
 
-@pytest.mark.parametrize("part", [1000, 5])
-def test_ngram_join(docs, odd_rows, prose, part):
-    rows = list(odd_rows)
+def families(prose):
+    rows = []
     for k in range(6):
         rows += [(1000 + 100 * k + n, t) for n, t in enumerate(family(prose, k, 12, 0.06, k))]
     rows += [(5000 + n, " ".join(prose(80, 500 + n))) for n in range(60)]
-    rows += [(6000, "one two"), (6001, "One, TWO!"), (6002, "one"), (6003, "one two"), (5, "another text of row five"), (1000, rows[-70][1])]
-    got = {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in ngram_jaccard_join(docs(rows, clashing=True), part=part).collect()}
-    want = jaccard_pairs(rows)
-    assert len(want) > 200 and set(got) <= set(want)
-    assert len(got) >= 0.97 * len(want)
+    return rows + [(6000, "one two"), (6001, "One, TWO!"), (6002, "one"), (6003, "one two"), (5, "another text of row five"), (1000, rows[-70][1])]
+
+
+@pytest.mark.parametrize("part, hot, grams", [(1000, 64, 1 << 20), (5, 3, 700)])
+def test_ngram_join(docs, odd_rows, prose, part, hot, grams):
+    how = {"part": part, "hot": hot, "pack_grams": grams}
+    rows = odd_rows + families(prose)
+    df = docs(rows, clashing=True)
+    nodes, pairs = jaccard_pairs(rows)
+    want = {}
+    for (s, u), j in pairs.items():
+        a, b = sorted((min(nodes[s]), min(nodes[u])))
+        want[a, b] = max(j, want.get((a, b), 0))
+    got = {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in ngram_join.similar_pairs(df, **how).collect()}
+    assert len(want) > 200 and set(got) == set(want)
     assert all(abs(want[p] - j) < 1e-12 for p, j in got.items())
-    assert (6000, 6001) in got and (6000, 6003) in got and (6000, 6002) not in got
+    out = ngram_jaccard_join(df, **how)
+    assert out.columns == ["doc_id", "class_id", "n_links"]
+    assert Counter(tuple(r) for r in out.collect()) == jaccard_classes(rows)
+
+
+def test_ngram_join_at_other_thresholds(docs, prose):
+    rows = families(prose)
+    for t in (0.3, 1.0):
+        assert Counter(tuple(r) for r in ngram_jaccard_join(docs(rows), threshold=t).collect()) == jaccard_classes(rows, t=t)
+
+
+def test_a_hot_ngram_and_many_copies(docs, prose):
+    """A line on every document, and a text that a third of them have."""
+    line = " ".join(prose(30, 1))
+    rows = [(n, line + " " + " ".join(prose(12 if n % 5 else 60, n))) for n in range(200)] + [(1000 + n, "the same text that very many documents have") for n in range(100)]
+    assert Counter(tuple(r) for r in ngram_jaccard_join(docs(rows).repartition(7), part=20, hot=4).collect()) == jaccard_classes(rows)
+
+
+def test_ids_are_whole_numbers(docs):
+    with pytest.raises(TypeError, match="whole numbers"):
+        ngram_jaccard_join(docs([(1, "a")]).withColumn("doc_id", F.lit("x1")))
 
 
 def test_near_dedup_keeps_one_of_each_group(docs, odd_rows, prose):
     rows = odd_rows + [(100 + n, t) for n, t in enumerate(family(prose, 1, 8, 0.03, 1))] + [(200 + n, t) for n, t in enumerate(family(prose, 2, 8, 0.03, 2))]
+    rows += [(201, "a repeated id with a text of its own")]
     df = docs(rows, clashing=True)
     out = near_dedup(df)
     assert out.columns == df.columns
     got = Counter(r["doc_id"] for r in out.collect())
-    assert got == Counter([i for i, *_ in odd_rows] + [100, 200])
+    assert got == Counter([i for i, *_ in odd_rows] + [100, 200, 201])
     assert near_dedup(docs([])).count() == 0 and ngram_jaccard_join(docs([])).count() == 0
 
 
@@ -217,18 +273,19 @@ def test_window_hashes_tell_windows_apart():
         assert len(set(seen.values())) == len(seen)
 
 
-def test_grams_that_share_32_bits_are_two(monkeypatch):
-    """Two texts whose gram hashes differ only in the lower half aren't equal sets."""
-    from forkline.llm import ngram_join
-
-    one = np.array([(7 << 32) + 1, (9 << 32) + 5], np.uint64)
-    other = np.array([(7 << 32) + 2, (9 << 32) + 6], np.uint64)
-    assert ngram_join.short_grams(one).tolist() == ngram_join.short_grams(other).tolist() == [7, 9]
-    assert ngram_join.short_grams(np.array([1, 2, 1 << 32, (1 << 32) + 1], np.uint64)).tolist() == [0, 1]
-    monkeypatch.setattr(ngram_join, "words_of_worker", lambda: lambda text: text)
-    monkeypatch.setattr(ngram_join, "windows", lambda words, n, seed: one if words == "one" else other)
-    table = pa.table([pa.array([1, 2]), pa.array(["one", "other"])], ["id", "t"]).to_batches()
-    (signed,), (sets,) = ngram_join._signatures(1, 4, 3)(table), ngram_join._sets(1)(table)
-    assert signed.column(1) == sets.column(1) and len(set(signed.column(1).to_pylist())) == 2
-    assert signed.column(2)[0].as_py() == signed.column(2)[1].as_py()
-    assert [np.frombuffer(x, np.uint64).tolist() for x in sets.column(2).to_pylist()] == [one.tolist(), other.tolist()]
+@pytest.mark.parametrize("bits", [0, 3, 16, 20])
+def test_keys_keep_all_bits_but_those_between(bits):
+    """The bucket and the key together hold a hash's first bits (16 at most) and its last 48."""
+    h = np.random.default_rng(bits).integers(0, 1 << 63, 1000, dtype=np.uint64) * np.uint64(2)
+    h = np.concatenate([h, h ^ np.uint64(1), h ^ np.uint64(1 << 47)])
+    bucket, key = ngram_join._keys(h, bits)
+    assert len(np.unique(key)) == len(np.unique(h)) and (bits > 16 or (bucket == key >> np.uint64(48)).all() or not bits)
+    assert bucket.min() >= 0 and bucket.max() < 1 << bits
+    if bits >= 16:
+        assert (key == h).all()
+
+
+def test_frequency_classes_never_fall():
+    df = np.unique(np.concatenate([np.arange(1, 5000), 1 << np.arange(50)]))
+    c = ngram_join.frequency_class(df).astype(int)
+    assert (np.diff(c) >= 0).all() and c[0] == 1 and c.max() == 255
