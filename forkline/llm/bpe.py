@@ -22,8 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import Bounded, fresh, held, ship
-from .token_counts import PATTERN, VOCABULARY, _ranks_of, load
+from .common import Bounded, fresh, held, ship, sliced
+from .token_counts import AT_ONCE, PATTERN, VOCABULARY, _ranks_of, load
 
 
 #: The rank of a pair that doesn't merge.
@@ -48,9 +48,10 @@ def merges_of(piece: bytes, ranks: dict[bytes, int], text: dict[int, bytes] | No
 
 class Transducer:
     """encode() runs the states; `states` and `arcs` grow only by what texts reach, and are
-    dropped when they exceed `limit` arcs."""
+    dropped when they exceed `limit` arcs. An arc, by state << 8 | byte, is the next state and,
+    from bit 32 on, the place in `outs` of what it emits (0: nothing)."""
 
-    def __init__(self, ranks: dict[bytes, int], limit: int = 120_000):
+    def __init__(self, ranks: dict[bytes, int], limit: int = 300_000):
         self.ranks, self.limit = ranks, limit
         self.text = {i: b for b, i in ranks.items()}
         # The vocabulary's trie as its nodes' strings, with the entry's id or -1.
@@ -62,7 +63,10 @@ class Transducer:
     def _clear(self) -> None:
         self.states: list[tuple] = []
         self.number: dict[tuple, int] = {}
-        self.arcs: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.arcs: dict[int, int] = {}
+        self.outs: list[tuple[int, ...]] = [()]
+        self.placed: dict[tuple[int, ...], int] = {(): 0}
+        self.shared: dict[tuple[int, ...], tuple[int, ...]] = {}
         self.ends: dict[int, tuple[int, ...]] = {}
         self._state((-1, b"", (), (0,)))
 
@@ -114,13 +118,13 @@ class Transducer:
                     if c != b:
                         b = c
                         across = get(a + b, NEVER)
-        if len(self.pairs) > self.limit:
+        if len(self.pairs) > self.limit // 2:
             self.pairs.clear()
         self.pairs[key] = ok
         return ok
 
-    def _step(self, number: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """The state after one more byte, and what is emitted. lasts[i] is the token that
+    def _step(self, number: int, byte: int) -> int:
+        """The arc for one more byte. lasts[i] is the token that
         ends the first i + 1 pending bytes' encoding, or -1 where no open boundary rests on it."""
         before, pending, lasts, opens = self.states[number]
         pending += bytes((byte,))
@@ -157,10 +161,15 @@ class Transducer:
         elif root:
             lasts = lasts[root:]
         if root:
-            key = (out[-1], pending[root:], lasts, tuple([at - root for at in left]))
-        else:
-            key = (before, pending, lasts, tuple(left))
-        return self._state(key), out
+            before, pending, left = out[-1], pending[root:], [at - root for at in left]
+        # What came before matters only to a token that may still start at the first boundary.
+        left = tuple(left)
+        nxt = self._state((-1 if left[0] else before, pending, lasts, self.shared.setdefault(left, left)))
+        place = self.placed.get(out)
+        if place is None:
+            place = self.placed[out] = len(self.outs)
+            self.outs.append(out)
+        return place << 32 | nxt
 
     def _end(self, number: int) -> tuple[int, ...]:
         _, pending, lasts, _ = self.states[number]
@@ -174,14 +183,14 @@ class Transducer:
         if len(self.arcs) > self.limit:
             self._clear()
         out: list[int] = []
-        arcs, state = self.arcs, 0
+        arcs, outs, state = self.arcs, self.outs, 0
         for byte in piece:
             arc = arcs.get(state << 8 | byte)
             if arc is None:
                 arc = arcs[state << 8 | byte] = self._step(state, byte)
-            state, emitted = arc
-            if emitted:
-                out.extend(emitted)
+            state = arc & 0xFFFFFFFF
+            if arc != state:
+                out.extend(outs[arc >> 32])
         tail = self.ends.get(state)
         if tail is None:
             tail = self.ends[state] = self._end(state)
@@ -268,8 +277,8 @@ class Codec:
     def __init__(self, data: bytes):
         ranks = _ranks_of(data)
         self.transduce, self.decode, self.find = Transducer(ranks).encode, Decoder(ranks), regex.compile(PATTERN).findall
-        self.memo = Bounded(self._of_piece, 300_000)
-        self.tokens = Bounded(lambda t: array("i", self.transduce(t.encode("utf-8", "surrogatepass"))).tobytes(), 1_000_000)
+        self.memo = Bounded(self._of_piece, 150_000)
+        self.tokens = Bounded(lambda t: array("i", self.transduce(t.encode("utf-8", "surrogatepass"))).tobytes(), 150_000)
 
     def _ids(self, text: str) -> bytes:
         return b"".join(map(self.tokens.__getitem__, self.find(text)))
@@ -279,9 +288,11 @@ class Codec:
 
     def encode(self, text: str) -> bytes:
         head, *rest = text.split(" ")
-        parts = list(map(self.memo.__getitem__, rest))
-        self.memo.trim()
-        self.tokens.trim()
+        parts = []
+        for k in range(0, len(rest), AT_ONCE):  # so that a very long text keeps to the memos' bound, too
+            parts += map(self.memo.__getitem__, rest[k : k + AT_ONCE])
+            self.memo.trim()
+            self.tokens.trim()
         return self._ids(text) if None in parts else self._ids(head) + b"".join(parts)
 
 
@@ -303,7 +314,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str = VOCABULARY, text_col: str = "t
 
     def run(batches):
         codec = _codec(data)
-        for b in (whole.slice(k, SLICE) for whole in batches for k in range(0, whole.num_rows, SLICE)):
+        for b in sliced(batches, SLICE):
             texts = b.column(at).to_pylist()
             parts = [b"" if t is None else codec.encode(t) for t in texts]
             ends = [0, *accumulate(len(p) // 4 for p in parts)]

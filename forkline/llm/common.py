@@ -159,8 +159,11 @@ class Words:
         if not text:
             return np.empty(0, np.uint64)
         pieces = text.split()
-        h = np.fromiter(map(self.memo.__getitem__, pieces), np.uint64, len(pieces))
-        self.memo.trim()
+        h = np.empty(len(pieces), np.uint64)
+        for k in range(0, len(pieces), 1 << 16):  # a very long text keeps to the memo's bound, too
+            some = pieces[k : k + (1 << 16)]
+            h[k : k + len(some)] = np.fromiter(map(self.memo.__getitem__, some), np.uint64, len(some))
+            self.memo.trim()
         return h[h != 0] if not h.all() else h
 
 
@@ -185,6 +188,13 @@ def words_of_worker() -> Words:
     return held("words", Words)
 
 
+def sliced(batches, rows: int = 1000):
+    """Record batches of fewer rows, so that what a task holds as Python objects is small."""
+    for whole in batches:
+        for k in range(0, whole.num_rows, rows):
+            yield whole.slice(k, rows)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values."""
     h = h ^ (h >> np.uint64(32))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, ship
+from .common import fresh, held, ship
 
 BUCKETS = 1 << 16
 _LOWER = np.arange(256, dtype=np.uint32)
@@ -154,6 +154,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", min_margin:
     names = [fresh("language", docs), fresh("margin", docs), fresh("ambiguous", docs)]
 
     def run(batches):
+        held("languages", lambda: None)  # nothing of another operator stays in the worker
         words = np.array(model.languages or (None,), object)
         for b in batches:
             means, grams = model.scores(b.column(at).cast(pa.large_string()).cast(pa.large_binary()).fill_null(b""))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hinted, id_longs, ship, text_bytes, windows, words_of_worker, written
+from .common import hinted, id_longs, ship, sliced, text_bytes, windows, words_of_worker, written
 
 N, THRESHOLD = 3, 0.5
 #: Sets in one part of a block.
@@ -209,7 +209,7 @@ def _scatter(n: int, bits: int, seed: int, hot_from: int, most: int):
         from pyspark import TaskContext
 
         words, part, seq, rows, total = words_of_worker(), TaskContext.get().partitionId(), 0, [], 0
-        for b in batches:
+        for b in sliced(batches):
             for i, h, t in zip(*(c.to_pylist() for c in b.columns)):
                 g = gram_set(words(t), n)
                 if not len(g):

@@ -27,6 +27,10 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 ODD = 1 << 50
 
 
+#: Pieces of a text after which the memos are looked after.
+AT_ONCE = 1 << 16
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
@@ -93,9 +97,11 @@ class Splitter:
 
     def __call__(self, text: str) -> int:
         head, *rest = text.split(" ")
-        total = sum(map(self.memo.__getitem__, rest))
-        self.memo.trim()
-        self.tokens.trim()
+        total = 0
+        for k in range(0, len(rest), AT_ONCE):
+            total += sum(map(self.memo.__getitem__, rest[k : k + AT_ONCE]))
+            self.memo.trim()
+            self.tokens.trim()
         return self._whole(text) if total >= ODD else total + self._whole(head)
 
 

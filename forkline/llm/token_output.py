@@ -17,8 +17,8 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 
-from .common import Bounded, held, ship
-from .token_counts import PATTERN, VOCABULARY, _ranks_of, load
+from .common import Bounded, held, id_longs, ship
+from .token_counts import AT_ONCE, PATTERN, VOCABULARY, _ranks_of, load
 
 #: A one is sampled for every so many documents of a shard.
 SAMPLE = 64
@@ -97,8 +97,10 @@ class Encoder:
 
     def __call__(self, text: str) -> bytes:
         head, *rest = text.split(" ")
-        parts = list(map(self.memo.__getitem__, rest))
-        self.memo.trim()
+        parts = []
+        for k in range(0, len(rest), AT_ONCE):
+            parts += map(self.memo.__getitem__, rest[k : k + AT_ONCE])
+            self.memo.trim()
         return self._ids(text) if None in parts else self._ids(head) + b"".join(parts)
 
 
@@ -111,7 +113,7 @@ def token_shards(docs: DataFrame, vocabulary: str = VOCABULARY, shard_tokens: in
     `doc_ids` are the shard's documents in the order of their ids; document k of a shard
     spans ids[select(k-1):select(k)]. Null and empty texts take an empty span (their ends
     are ties, which Elias-Fano allows); rows with repeated or null ids each keep their own
-    span. An empty table gives no shard. Shards follow the input's partitions, so nothing
+    span; ids are whole numbers (common.id_longs). An empty table gives no shard. Shards follow the input's partitions, so nothing
     is shuffled, and a lost task writes the same shards again; `shard` is unique.
     """
     ship(docs.sparkSession)
@@ -145,7 +147,7 @@ def token_shards(docs: DataFrame, vocabulary: str = VOCABULARY, shard_tokens: in
         if ids:
             yield shard()
 
-    return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("t")).mapInArrow(run, SCHEMA)
+    return docs.select(id_longs(docs, id_col).alias("id"), docs[text_col].alias("t")).mapInArrow(run, SCHEMA)
 
 
 def boundaries(row) -> EliasFano:
