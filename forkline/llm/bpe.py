@@ -14,13 +14,15 @@ reaches them and are kept in tables.
 from __future__ import annotations
 
 from array import array
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from xxhash import xxh3_128_digest
 
 from .common import Bounded, fresh, held, ship, sliced
 from .token_counts import AT_ONCE, PATTERN, VOCABULARY, _ranks_of, load
@@ -51,7 +53,7 @@ class Transducer:
     dropped when they exceed `limit` arcs. An arc, by state << 8 | byte, is the next state and,
     from bit 32 on, the place in `outs` of what it emits (0: nothing)."""
 
-    def __init__(self, ranks: dict[bytes, int], limit: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], limit: int = 400_000):
         self.ranks, self.limit = ranks, limit
         self.text = {i: b for b, i in ranks.items()}
         # The vocabulary's trie as its nodes' strings, with the entry's id or -1.
@@ -85,19 +87,14 @@ class Transducer:
         return self.built[token]
 
     def _fits(self, before: int, token: int) -> bool:
-        """Whether a token may follow another: their own merges run side by side, the lowest
+        """Whether (for _step, which looks into `pairs` first) a token may follow another: their own merges run side by side, the lowest
         rank first and of equal ones the left one, and no merge across the border comes first."""
-        right = self._merges(token)
-        if before < 0:
-            return right is not None
-        key = before << 20 | token
-        ok = self.pairs.get(key)
-        if ok is not None:
-            return ok
-        left, a, b, ok = self._merges(before), self.text[before][-1:], self.text[token][:1], True
+        right, key = self._merges(token), before << 20 | token
+        left, ok = self._merges(before) if before >= 0 else [], True
         if left is None or right is None:
             ok = False
-        else:
+        elif before >= 0:
+            a, b = self.text[before][-1:], self.text[token][:1]
             i, j, get = 0, 0, self.ranks.get
             across = get(a + b, NEVER)
             while True:
@@ -128,14 +125,17 @@ class Transducer:
         ends the first i + 1 pending bytes' encoding, or -1 where no open boundary rests on it."""
         before, pending, lasts, opens = self.states[number]
         pending += bytes((byte,))
-        size, last, text, trie, left = len(pending), -1, self.text, self.trie, []
+        size, last, text, trie, known, left = len(pending), -1, self.text, self.trie, self.pairs, []
         for start in opens:  # the longest candidate first
             token = trie.get(pending[start:])
             if token is None:  # no entry can go on from here any more
                 continue
             left.append(start)
-            if last < 0 <= token and self._fits(lasts[start - 1] if start else before, token):
-                last = token
+            if last < 0 <= token:
+                previous = lasts[start - 1] if start else before
+                fits = known.get(previous << 20 | token)
+                if self._fits(previous, token) if fits is None else fits:
+                    last = token
         lasts += (last,)
         left.append(size)  # the newest boundary is always open
         root, out = left[0], ()
@@ -270,30 +270,122 @@ class Decoder:
         return "".join(parts)
 
 
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of spans of an array, one span after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class Pieces:
+    """The ids of pieces by the two halves of their digests: sorted arrays, 22 bytes for a
+    piece and four for an id, with nothing of Python's for each."""
+
+    def __init__(self):
+        self.key, self.check = np.empty(0, np.uint64), np.empty(0, np.uint64)
+        self.start, self.size, self.ids = np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32)
+
+    def find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """The place of each piece, -1 if it isn't there; `key` is sorted."""
+        if not len(self.key):
+            return np.full(len(key), -1)
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return np.where((self.key[at] == key) & (self.check[at] == check), at, -1)
+
+    def add(self, key: np.ndarray, check: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Pieces that aren't there yet; `key` is sorted and their ids follow one another. Of
+        two with one key (and other digests) the second is left out."""
+        at = np.searchsorted(self.key, key)
+        fresh_ = np.diff(key, prepend=key[:1] - np.uint64(1)) != 0
+        if len(self.key):
+            fresh_ &= self.key[np.minimum(at, len(self.key) - 1)] != key
+        start = len(self.ids) + np.cumsum(sizes) - sizes
+        for name, value in (("key", key), ("check", check), ("start", start), ("size", sizes)):
+            setattr(self, name, np.insert(getattr(self, name), at[fresh_], value[fresh_]))
+        self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
+
+
 class Codec:
-    """Whole texts to id arrays and back. Pieces between blanks (see token_counts.Splitter)
-    pass the transducer once and are then remembered."""
+    """Whole texts to id arrays and back. The different pieces between blanks (see
+    token_counts.Splitter) of some texts are looked up together, and pass the transducer
+    only if they aren't among the last ones: up to `entries` pieces are remembered."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, entries: int = 1_200_000):
         ranks = _ranks_of(data)
         self.transduce, self.decode, self.find = Transducer(ranks).encode, Decoder(ranks), regex.compile(PATTERN).findall
-        self.memo = Bounded(self._of_piece, 150_000)
-        self.tokens = Bounded(lambda t: array("i", self.transduce(t.encode("utf-8", "surrogatepass"))).tobytes(), 150_000)
+        self.tokens = Bounded(lambda t: self.transduce(t.encode("utf-8", "surrogatepass")), 50_000)
+        self.entries, self.young, self.old = entries, Pieces(), Pieces()
 
-    def _ids(self, text: str) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, self.find(text)))
+    def _ids(self, text: str) -> list[int]:
+        found = self.find(text)
+        if len(found) == 1:
+            return self.transduce(text.encode("utf-8", "surrogatepass"))
+        out = []
+        for k in range(0, len(found), AT_ONCE):  # so that a very long text keeps to the bound, too
+            for ids in map(self.tokens.__getitem__, found[k : k + AT_ONCE]):
+                out += ids
+            self.tokens.trim()
+        return out
 
-    def _of_piece(self, piece: str) -> bytes | None:
-        return None if not piece or piece[0].isspace() else self._ids(" " + piece)
+    def _of_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start and size of the ids of each piece, after a blank, in the third array."""
+        digest = np.frombuffer(b"".join([xxh3_128_digest(p) for p in pieces]), np.uint64).reshape(-1, 2)
+        order = np.argsort(digest[:, 0])
+        key, check = digest[order, 0], digest[order, 1]
+        sizes, found = np.zeros(len(pieces), np.int32), []
+        for table in (self.young, self.old):
+            at = table.find(key, check)
+            at[sizes > 0] = -1
+            hit = np.flatnonzero(at >= 0)
+            sizes[hit] = table.size[at[hit]]
+            found.append((hit, table, at[hit]))
+        new = np.flatnonzero(sizes == 0)
+        made = [self._ids(" " + pieces[k]) for k in order[new].tolist()]
+        sizes[new] = np.fromiter(map(len, made), np.int32, len(made))
+        starts = np.cumsum(sizes, dtype=np.int64) - sizes
+        ids = np.empty(int(sizes.sum()), np.int32)
+        for hit, table, at in found:
+            ids[_spans(starts[hit], sizes[hit])] = table.ids[_spans(table.start[at], sizes[hit])]
+        ids[_spans(starts[new], sizes[new])] = np.fromiter(chain.from_iterable(made), np.int32)
+        young = np.sort(np.concatenate([found[1][0], new]))  # what is used again stays
+        self.young.add(key[young], check[young], sizes[young], ids[_spans(starts[young], sizes[young])])
+        if len(self.young.key) > self.entries // 2:
+            self.old, self.young = self.young, Pieces()
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return starts[back], sizes[back], ids
+
+    def encode_all(self, texts: pa.Array) -> list[bytes | None]:
+        """The ids of each text as little-endian bytes, None for null."""
+        lists = pc.split_pattern(texts.fill_null(""), pattern=" ")
+        ends = lists.offsets.to_numpy().astype(np.int64)
+        flat = lists.flatten()
+        heads = flat.take(pa.array(ends[:-1] - ends[0]))
+        body = np.ones(len(flat), bool)
+        body[ends[:-1] - ends[0]] = False
+        coded = flat.filter(pa.array(body)).dictionary_encode()
+        pieces, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        odd = np.array([not p or p[0].isspace() for p in pieces], bool)
+        if odd.any():  # texts with other white space beside a blank go whole through the pattern
+            pieces = ["a" if o else p for o, p in zip(odd.tolist(), pieces)]
+        starts, sizes, ids = self._of_pieces(pieces)
+        n = sizes[which]
+        raw = ids[_spans(starts[which], n)].tobytes()
+        cuts = np.diff(ends) - 1
+        last = np.cumsum(cuts)
+        total = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+        strange = np.concatenate([[0], np.cumsum(odd[which])])
+        of, to = total[last - cuts] * 4, total[last] * 4
+        whole = strange[last] > strange[last - cuts]
+        out: list[bytes | None] = []
+        for k, (head, a, b) in enumerate(zip(heads.to_pylist(), of.tolist(), to.tolist())):
+            if not texts[k].is_valid:
+                out.append(None)
+            else:
+                out.append(array("i", self._ids(texts[k].as_py())).tobytes() if whole[k] else array("i", self._ids(head)).tobytes() + raw[a:b])
+        return out
 
     def encode(self, text: str) -> bytes:
-        head, *rest = text.split(" ")
-        parts = []
-        for k in range(0, len(rest), AT_ONCE):  # so that a very long text keeps to the memos' bound, too
-            parts += map(self.memo.__getitem__, rest[k : k + AT_ONCE])
-            self.memo.trim()
-            self.tokens.trim()
-        return self._ids(text) if None in parts else self._ids(head) + b"".join(parts)
+        return self.encode_all(pa.array([text], pa.string()))[0]
 
 
 def _codec(data: bytes) -> Codec:
@@ -316,7 +408,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str = VOCABULARY, text_col: str = "t
         codec = _codec(data)
         for b in sliced(batches, SLICE):
             texts = b.column(at).to_pylist()
-            parts = [b"" if t is None else codec.encode(t) for t in texts]
+            parts = [p or b"" for p in codec.encode_all(b.column(at))]
             ends = [0, *accumulate(len(p) // 4 for p in parts)]
             absent = pa.array([t is None for t in texts])
             flat = b"".join(parts)

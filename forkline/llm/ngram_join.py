@@ -36,7 +36,7 @@ PART = 1000
 #: Packed n-grams for one bucket, about, and the most buckets.
 BUCKET_BYTES, MOST_BUCKETS = 4 << 20, 1 << 20
 #: N-grams and documents that are packed together at most (a longer document is alone).
-PACK_GRAMS, PACK_DOCS = 1 << 20, 60_000
+PACK_GRAMS, PACK_DOCS = 1 << 19, 60_000
 #: An n-gram in more of the documents packed together sends its bucket their number only.
 HOT = 64
 #: Stands for all documents packed together that have a hot n-gram.
