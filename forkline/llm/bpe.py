@@ -53,7 +53,7 @@ class Transducer:
     dropped when they exceed `limit` arcs. An arc, by state << 8 | byte, is the next state and,
     from bit 32 on, the place in `outs` of what it emits (0: nothing)."""
 
-    def __init__(self, ranks: dict[bytes, int], limit: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], limit: int = 350_000):
         self.ranks, self.limit = ranks, limit
         self.text = {i: b for b, i in ranks.items()}
         # The vocabulary's trie as its nodes' strings, with the entry's id or -1.
@@ -309,7 +309,7 @@ class Codec:
     token_counts.Splitter) of some texts are looked up together, and pass the transducer
     only if they aren't among the last ones: up to `entries` pieces are remembered."""
 
-    def __init__(self, data: bytes, entries: int = 1_200_000):
+    def __init__(self, data: bytes, entries: int = 1_000_000):
         ranks = _ranks_of(data)
         self.transduce, self.decode, self.find = Transducer(ranks).encode, Decoder(ranks), regex.compile(PATTERN).findall
         self.tokens = Bounded(lambda t: self.transduce(t.encode("utf-8", "surrogatepass")), 50_000)

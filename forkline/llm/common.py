@@ -33,8 +33,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Bytes that go to a Python worker at once, where the session leaves Spark's much larger default.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers that don't have it on their path."""
+    """Make this package importable in Python workers that don't have it on their path, and
+    send them texts in small batches: ten thousand long documents at once are too many."""
+    if not spark._jsparkSession.sessionState().conf().contains(BATCH_SETTING):
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
     on_path = {os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
     if str(ROOT) in on_path or os.getcwd() == str(ROOT) or getattr(spark.sparkContext, "_forkline_shipped", False):
         return
