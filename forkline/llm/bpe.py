@@ -32,7 +32,7 @@ from .token_counts import AT_ONCE, PATTERN, VOCABULARY, _ranks_of, load
 NEVER = 1 << 60
 
 #: Rows that are encoded and sent back together.
-SLICE = 1000
+SLICE = 500
 
 
 def merges_of(piece: bytes, ranks: dict[bytes, int], text: dict[int, bytes] | None = None) -> tuple[list[bytes], list[tuple[int, bytes, bytes]]]:
@@ -53,7 +53,7 @@ class Transducer:
     dropped when they exceed `limit` arcs. An arc, by state << 8 | byte, is the next state and,
     from bit 32 on, the place in `outs` of what it emits (0: nothing)."""
 
-    def __init__(self, ranks: dict[bytes, int], limit: int = 350_000):
+    def __init__(self, ranks: dict[bytes, int], limit: int = 300_000):
         self.ranks, self.limit = ranks, limit
         self.text = {i: b for b, i in ranks.items()}
         # The vocabulary's trie as its nodes' strings, with the entry's id or -1.
@@ -87,8 +87,9 @@ class Transducer:
         return self.built[token]
 
     def _fits(self, before: int, token: int) -> bool:
-        """Whether (for _step, which looks into `pairs` first) a token may follow another: their own merges run side by side, the lowest
-        rank first and of equal ones the left one, and no merge across the border comes first."""
+        """Whether a token may follow another (_step looks into `pairs` first): their own merges
+        run side by side, the lowest rank first and of equal ones the left one, and no merge
+        across the border comes first."""
         right, key = self._merges(token), before << 20 | token
         left, ok = self._merges(before) if before >= 0 else [], True
         if left is None or right is None:
@@ -121,8 +122,8 @@ class Transducer:
         return ok
 
     def _step(self, number: int, byte: int) -> int:
-        """The arc for one more byte. lasts[i] is the token that
-        ends the first i + 1 pending bytes' encoding, or -1 where no open boundary rests on it."""
+        """The arc for one more byte. lasts[i] is the token that ends the first i + 1 pending
+        bytes' encoding, or -1 where no open boundary rests on it."""
         before, pending, lasts, opens = self.states[number]
         pending += bytes((byte,))
         size, last, text, trie, known, left = len(pending), -1, self.text, self.trie, self.pairs, []
@@ -316,16 +317,26 @@ class Codec:
         self.entries, self.young, self.old = entries, Pieces(), Pieces()
 
     def _ids(self, text: str) -> list[int]:
-        found = self.find(text)
-        if len(found) == 1:
-            return self.transduce(text.encode("utf-8", "surrogatepass"))
-        out = []
+        out, found = [], self.find(text)
         for k in range(0, len(found), AT_ONCE):  # so that a very long text keeps to the bound, too
             for ids in map(self.tokens.__getitem__, found[k : k + AT_ONCE]):
                 out += ids
             self.tokens.trim()
         return out
 
+    def _made(self, pieces: list[str]) -> list[list[int]]:
+        """The ids of new pieces: a single pre-token passes the transducer, of the others
+        (such as a word and a sign) each word is looked up like a piece."""
+        split = [() if p.isalpha() else self.find(" " + p) for p in pieces]
+        words = list({t[1:] for s in split if len(s) > 1 for t in s if len(t) > 1 and t[0] == " "})
+        known = {}
+        if words:
+            starts, sizes, ids = self._of_pieces(words)
+            known = {" " + w: ids[a:b].tolist() for w, a, b in zip(words, starts.tolist(), (starts + sizes).tolist())}
+        out = [self.transduce((" " + p).encode()) if len(s) < 2 else [*chain.from_iterable([known[t] if t in known else self.tokens[t] for t in s])] for p, s in zip(pieces, split)]
+        self.tokens.trim()
+        return out
+
     def _of_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start and size of the ids of each piece, after a blank, in the third array."""
         digest = np.frombuffer(b"".join([xxh3_128_digest(p) for p in pieces]), np.uint64).reshape(-1, 2)
@@ -337,15 +348,15 @@ class Codec:
             at[sizes > 0] = -1
             hit = np.flatnonzero(at >= 0)
             sizes[hit] = table.size[at[hit]]
-            found.append((hit, table, at[hit]))
+            found.append((hit, table.ids[_spans(table.start[at[hit]], sizes[hit])]))
         new = np.flatnonzero(sizes == 0)
-        made = [self._ids(" " + pieces[k]) for k in order[new].tolist()]
+        made = self._made([pieces[k] for k in order[new].tolist()]) if len(new) else []
         sizes[new] = np.fromiter(map(len, made), np.int32, len(made))
+        found.append((new, np.fromiter(chain.from_iterable(made), np.int32)))
         starts = np.cumsum(sizes, dtype=np.int64) - sizes
         ids = np.empty(int(sizes.sum()), np.int32)
-        for hit, table, at in found:
-            ids[_spans(starts[hit], sizes[hit])] = table.ids[_spans(table.start[at], sizes[hit])]
-        ids[_spans(starts[new], sizes[new])] = np.fromiter(chain.from_iterable(made), np.int32)
+        for hit, values in found:
+            ids[_spans(starts[hit], sizes[hit])] = values
         young = np.sort(np.concatenate([found[1][0], new]))  # what is used again stays
         self.young.add(key[young], check[young], sizes[young], ids[_spans(starts[young], sizes[young])])
         if len(self.young.key) > self.entries // 2:
