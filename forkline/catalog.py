@@ -17,7 +17,7 @@ import itertools
 import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,6 +46,8 @@ class Table:
     next_tid: int = 0
     inserts: list[tuple[int, int, int]] = field(default_factory=list)  # (branch, epoch, seq)
     changes: list[tuple[int, int, int]] = field(default_factory=list)
+    changed: int = 0  # rows of all changes, however often each was changed
+    folders: dict[str, str] = field(default_factory=lambda: {"inserts": "inserts", "changes": "changes"})
 
     @property
     def columns(self) -> list[str]:
@@ -141,13 +143,13 @@ class Catalog:
         """The table with its whole log."""
         self.table(name)
         del self.tables[name]
-        self.folder.delete(name)
         self.save()
+        self.folder.delete(name)
 
     # The log
 
     def part(self, table: Table, kind: str) -> str:
-        return self.folder.path(table.name, kind)
+        return self.folder.path(table.name, table.folders[kind])
 
     def log_schema(self, table: Table, kind: str) -> T.StructType:
         extra = [T.StructField("_deleted", T.BooleanType())] if kind == "changes" else []
@@ -161,28 +163,44 @@ class Catalog:
         df = self.spark.read.schema(self.log_schema(table, kind)).parquet(self.part(table, kind))
         df = df.where(self.visible_rows(branch))
         # Rows of a statement that failed may lie there; its number isn't among the table's.
-        return df.where(F.col("_seq").isin(seen)) if table.base_note.get("orphans") else df
+        return self.ended(df, seen) if table.base_note.get("orphans") else df
+
+    def ended(self, log: DataFrame, statements: list[int]) -> DataFrame:
+        """The rows of these statements, however many there are: literals, or a join with
+        their numbers (which the metadata holds anyway)."""
+        if len(statements) <= 1000:
+            return log.where(F.col("_seq").isin(statements))
+        numbers = self.spark.createDataFrame([(s,) for s in statements], "_seq long")
+        return log.join(F.broadcast(numbers), "_seq", "left_semi").select(log.columns)
 
-    def append(self, table: Table, kind: str, rows: DataFrame, branch: str) -> int:
+    def append(self, table: Table, kind: str, rows: DataFrame, branch: str) -> tuple[int, int | None]:
         """Write the rows of one statement; they count once the triple is in the metadata.
-        `rows` has _tid, the columns, and _deleted for changes."""
+        `rows` has _tid, the columns, and _deleted for changes. Gives the number of rows and
+        their largest _tid, observed while they are written: the log isn't read back."""
         b, e, s = self.branch(branch).id, self.epoch, next(self.seq)
         before = table.base_note.get("orphans", False)
         table.base_note["orphans"] = True  # until it has ended
         names = self.log_schema(table, kind).fieldNames()
         full = rows.withColumns({"_branch": F.lit(b), "_epoch": F.lit(e), "_seq": F.lit(s).cast("long")}).select(names)
+        seen = Observation()
+        full = full.observe(seen, F.count(F.lit(1)).alias("n"), F.max("_tid").alias("top"))
         full.write.mode("append").partitionBy("_branch").parquet(self.part(table, kind))
+        n, top = seen.get["n"], seen.get["top"]
         table.base_note["orphans"] = before
         getattr(table, kind).append((b, e, s))
+        if kind == "changes":
+            table.changed += n
+        elif top is not None:
+            table.next_tid = top + 1
         self.save()
-        return s
+        return n, top
 
     # Persistence
 
     def save(self) -> None:
         self.folder.write_text("catalog.json", json.dumps({
             "branches": [[b.id, b.name, b.parent] for b in self.branches.values()],
-            "tables": [{"name": t.name, "schema": t.schema.json(), "created": t.created, "next_tid": t.next_tid, "base_epoch": t.base_epoch, "has_base": t.base is not None, "inserts": t.inserts, "changes": t.changes} for t in self.tables.values()],
+            "tables": [{"name": t.name, "schema": t.schema.json(), "created": t.created, "next_tid": t.next_tid, "base_epoch": t.base_epoch, "has_base": t.base is not None, "inserts": t.inserts, "changes": t.changes, "changed": t.changed, "folders": t.folders} for t in self.tables.values()],
         }))
 
     @classmethod
@@ -193,7 +211,7 @@ class Catalog:
         out.branches = {n: Branch(i, n, p) for i, n, p in saved["branches"]}
         last = 0
         for t in saved["tables"]:
-            made = Table(t["name"], T.StructType.fromJson(json.loads(t["schema"])), t["created"], None, t["base_epoch"], {"orphans": True}, t["next_tid"], [tuple(x) for x in t["inserts"]], [tuple(x) for x in t["changes"]])
+            made = Table(t["name"], T.StructType.fromJson(json.loads(t["schema"])), t["created"], None, t["base_epoch"], {"orphans": True}, t["next_tid"], [tuple(x) for x in t["inserts"]], [tuple(x) for x in t["changes"]], t["changed"], t["folders"])
             if t["has_base"]:
                 df, key = (bases or {})[t["name"]]
                 made.base = df.select(F.col(key).cast("long").alias("_tid"), *df.columns)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .catalog import MASTER, Catalog
@@ -19,11 +19,7 @@ def insert(catalog: Catalog, name: str, rows: DataFrame, branch: str = MASTER) -
     typed = rows.select([F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in table.schema])
     # Ids are given once, as the rows are written; gaps don't matter.
     numbered = typed.withColumn("_tid", F.monotonically_increasing_id() + F.lit(table.next_tid))
-    seq = catalog.append(table, "inserts", numbered, branch)
-    top = catalog.spark.read.schema(catalog.log_schema(table, "inserts")).parquet(catalog.part(table, "inserts")).where(F.col("_seq") == seq).agg(F.max("_tid")).first()[0]
-    if top is not None:
-        table.next_tid = top + 1
-        catalog.save()
+    catalog.append(table, "inserts", numbered, branch)
 
 
 def insert_values(catalog: Catalog, name: str, values: dict, branch: str = MASTER) -> None:
@@ -52,23 +48,42 @@ def delete(catalog: Catalog, name: str, where: Column | None = None, branch: str
     rows = latest(catalog, name, branch)
     rows = rows if where is None else rows.where(where)
     stones = rows.select("_tid", *[F.lit(None).cast(f.dataType).alias(f.name) for f in table.schema], F.lit(True).alias("_deleted"))
-    seq = catalog.append(table, "changes", stones, branch)
-    log = catalog.spark.read.schema(catalog.log_schema(table, "changes")).parquet(catalog.part(table, "changes"))
-    return log.where((F.col("_seq") == seq) & F.col("_deleted")).count()
+    return catalog.append(table, "changes", stones, branch)[0]
 
 
 def compact(catalog: Catalog, name: str) -> None:
-    """Rewrites the changes with only the last one of each row and write stamp: no branch,
-    present or future, sees another. Earlier revisions within a stamp are given up."""
+    """Rewrites the log in few files: all inserts, and of the changes only the last one of each
+    row and write stamp, as no branch, present or future, sees another. Earlier revisions
+    within a stamp are given up, and rows of statements that failed are left out.
+
+    The new log is a folder of its own; writing the metadata switches to it. Broken off
+    before, the table is what it was; broken off after, only the old folder stays behind.
+    """
     table = catalog.table(name)
-    if not table.changes:
-        return
-    log = catalog.spark.read.schema(catalog.log_schema(table, "changes")).parquet(catalog.part(table, "changes"))
-    done = log.where(F.col("_seq").isin([s for _, _, s in table.changes])) if len(table.changes) < 10_000 else log
-    kept = done.groupBy("_tid", "_branch", "_epoch").agg(F.max_by(F.struct("_seq", "_deleted", *table.columns), "_seq").alias("v")).select("_tid", "_branch", "_epoch", "v.*")
-    fresh = catalog.part(table, "changes_compact")
-    kept.select(catalog.log_schema(table, "changes").fieldNames()).write.mode("overwrite").partitionBy("_branch").parquet(fresh)
-    back = catalog.spark.read.schema(catalog.log_schema(table, "changes")).parquet(fresh)
-    catalog.folder.delete(f"{name}/changes")
-    back.write.mode("overwrite").partitionBy("_branch").parquet(catalog.part(table, "changes"))
-    catalog.folder.delete(f"{name}/changes_compact")
+    number, old, new, changed = next(catalog.seq), table.folders, dict(table.folders), table.changed
+    for kind in ("inserts", "changes"):
+        if not getattr(table, kind):
+            continue
+        schema = catalog.log_schema(table, kind)
+        log = catalog.spark.read.schema(schema).parquet(catalog.part(table, kind))
+        kept = catalog.ended(log, [s for _, _, s in getattr(table, kind)])
+        if kind == "changes":
+            kept = kept.groupBy("_tid", "_branch", "_epoch").agg(F.max_by(F.struct("_seq", "_deleted", *table.columns), "_seq").alias("v")).select("_tid", "_branch", "_epoch", "v.*")
+        seen = Observation()
+        written = kept.select(schema.fieldNames()).observe(seen, F.count(F.lit(1)).alias("n"))
+        target = f"{kind}_{number}"
+        # Few files, but no branch's rows in one task: the sizes decide at run time.
+        written.hint("rebalance", "_branch").write.mode("overwrite").partitionBy("_branch").parquet(catalog.folder.path(name, target))
+        if kind == "changes":
+            changed = seen.get["n"]
+        new[kind] = target
+    before, orphans = table.changed, table.base_note.get("orphans", False)
+    try:
+        table.folders, table.changed, table.base_note["orphans"] = new, changed, False
+        catalog.save()
+    except BaseException:
+        table.folders, table.changed, table.base_note["orphans"] = old, before, orphans
+        raise
+    for kind in old:
+        if new[kind] != old[kind]:
+            catalog.folder.delete(f"{name}/{old[kind]}")

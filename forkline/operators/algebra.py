@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import SemanticError
+from ..functions.numeric import average
 
 COMPARISONS = {"<": operator.lt, "<=": operator.le, "=": operator.eq, ">=": operator.ge, ">": operator.gt}
 
@@ -82,8 +83,9 @@ def sum_of(expression: Column, name: str):
 
 
 def avg_of(expression: Column, name: str, scale: int = 4):
-    """The average as a numeric with `scale` fraction digits."""
-    return "agg", F.avg(expression.cast("double")).cast(f"decimal(18,{scale})"), name
+    """The average as a numeric with `scale` fraction digits, cut off (4 for whole numbers,
+    its own for a numeric)."""
+    return "agg", average(expression, scale), name
 
 
 def count_all(name: str):

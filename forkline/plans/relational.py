@@ -27,26 +27,21 @@ def dec(c, scale: int = 4):
     return c.cast(f"decimal(38,{scale})")
 
 
-_Q1 = f"""
+def _average(column: str, alias: str) -> str:
+    """Exactly, as the quotient of whole hundredths."""
+    return f"CAST(CAST(CAST(sum(CAST({m(column)} * 100 AS BIGINT)) AS HUGEINT) // count({column}) AS DECIMAL(18,0)) * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(18,2)) AS {alias}"
+
+
+def _q1(lineitem: str, order: str = "") -> str:
+    return f"""
 SELECT l_returnflag, l_linestatus,
  CAST(sum({m('l_quantity')}) AS DECIMAL(38,2)) AS sum_qty,
  CAST(sum({m('l_extendedprice')}) AS DECIMAL(38,2)) AS sum_base_price,
  CAST(sum({m('l_extendedprice')} * (1 - {m('l_discount')})) AS DECIMAL(38,4)) AS sum_disc_price,
  CAST(sum({m('l_extendedprice')} * (1 - {m('l_discount')}) * (1 + {m('l_tax')})) AS DECIMAL(38,6)) AS sum_charge,
- CAST(sum(CAST(round(l_quantity * 100) AS BIGINT)) // count(*) AS BIGINT) AS avg_qty_cents,
- CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) // count(*) AS BIGINT) AS avg_price_cents,
- CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) // count(*) AS BIGINT) AS avg_disc_cents,
- count(*) AS count_order
-FROM lineitem WHERE {d('l_shipdate')} <= DATE '1998-09-02' {{more}} GROUP BY 1, 2"""
-
-
-def _cents(c):
-    return F.round(c.cast("decimal(15,2)") * 100).cast("long")
-
-
-def _avg_cents(c, name):
-    """An average at its input's two fraction digits, cut off, in hundredths."""
-    return "agg", N.int_div(F.sum(_cents(c)), F.count(F.lit(1))), name
+ {_average('l_quantity', 'avg_qty')}, {_average('l_extendedprice', 'avg_price')}, {_average('l_discount', 'avg_disc')},
+ count(*) AS count_order, count(l_tax) AS count_tax
+FROM {lineitem} WHERE {d('l_shipdate')} <= DATE '1998-09-02' GROUP BY 1, 2 {order}"""
 
 
 def _pricing_summary(lineitem):
@@ -60,30 +55,33 @@ def _pricing_summary(lineitem):
         ("agg", dec(F.sum("l_extendedprice"), 2), "sum_base_price"),
         ("agg", dec(F.sum(price * (one - disc)), 4), "sum_disc_price"),
         ("agg", dec(F.sum((price * (one - disc)).cast("decimal(20,4)") * (one + tax)), 6), "sum_charge"),
-        _avg_cents(F.col("l_quantity"), "avg_qty_cents"),
-        _avg_cents(price, "avg_price_cents"),
-        _avg_cents(disc, "avg_disc_cents"),
+        A.avg_of(F.col("l_quantity"), "avg_qty", 2),
+        A.avg_of(price, "avg_price", 2),
+        A.avg_of(disc, "avg_disc", 2),
         A.count_all("count_order"),
+        ("agg", F.count(tax), "count_tax"),
     )
 
 
-@query(_Q1.format(more=""))
+@query(_q1("lineitem"))
 def tpch1(spark, sf_dir):
     return _pricing_summary(table(spark, sf_dir, "lineitem"))
 
 
-_NULLED = "(SELECT * REPLACE (CASE WHEN l_linenumber = 7 THEN NULL ELSE l_tax END AS l_tax, CASE WHEN l_linenumber = 6 THEN NULL ELSE l_quantity END AS l_quantity) FROM lineitem)"
+@query(_q1("lineitem", "ORDER BY l_returnflag, l_linestatus"))
+def tpch1_sorted(spark, sf_dir):
+    """The same, sorted by its groups: a handful of rows."""
+    return _pricing_summary(table(spark, sf_dir, "lineitem")).orderBy("l_returnflag", "l_linestatus")
+
+
+_NULLED = "(SELECT * REPLACE (CASE WHEN l_linenumber = 7 THEN NULL ELSE l_tax END AS l_tax, CASE WHEN l_linenumber = 6 THEN NULL ELSE l_quantity END AS l_quantity, CASE WHEN l_linenumber = 5 THEN NULL ELSE l_discount END AS l_discount) FROM lineitem)"
 
 
-@query(f"""
-SELECT l_returnflag, l_linestatus, CAST(sum({m('l_quantity')}) AS DECIMAL(38,2)) AS sum_qty,
- CAST(sum({m('l_extendedprice')} * (1 + {m('l_tax')})) AS DECIMAL(38,4)) AS sum_taxed, count(*) AS count_order, count(l_tax) AS count_tax
-FROM {_NULLED} WHERE {d('l_shipdate')} <= DATE '1998-09-02' GROUP BY 1, 2""")
+@query(_q1(_NULLED))
 def tpch1_null(spark, sf_dir):
-    """The pricing summary where some inputs are null: sums leave them out."""
-    li = table(spark, sf_dir, "lineitem").withColumns({"l_tax": F.when(F.col("l_linenumber") != 7, F.col("l_tax")), "l_quantity": F.when(F.col("l_linenumber") != 6, F.col("l_quantity"))})
-    taxed = F.col("l_extendedprice") * (F.lit(1).cast("decimal(15,2)") + F.col("l_tax"))
-    return A.group_by(A.select(li, F.col("l_shipdate") <= F.lit("1998-09-02").cast("date")), A.keep("l_returnflag"), A.keep("l_linestatus"), ("agg", dec(F.sum("l_quantity"), 2), "sum_qty"), ("agg", dec(F.sum(taxed)), "sum_taxed"), A.count_all("count_order"), ("agg", F.count("l_tax"), "count_tax"))
+    """The whole pricing summary where some inputs are null: sums and averages leave them out."""
+    li, n = table(spark, sf_dir, "lineitem"), F.col("l_linenumber")
+    return _pricing_summary(li.withColumns({"l_tax": F.when(n != 7, F.col("l_tax")), "l_quantity": F.when(n != 6, F.col("l_quantity")), "l_discount": F.when(n != 5, F.col("l_discount"))}))
 
 
 # Arithmetic: polynomials by Horner's scheme. x is l_discount in hundredths in the SQL.
@@ -149,12 +147,12 @@ def sum_global(spark, sf_dir):
     return A.group_by(table(spark, sf_dir, "lineitem"), A.sum_of(F.col("l_linenumber"), "total"))
 
 
-@query("SELECT CAST(avg(CAST(l_linenumber AS DOUBLE)) AS DECIMAL(18,4)) AS mean FROM lineitem")
+@query("SELECT CAST(CAST(CAST(sum(l_linenumber) AS HUGEINT) * 10000 // count(*) AS DECIMAL(18,0)) * CAST(0.0001 AS DECIMAL(5,4)) AS DECIMAL(18,4)) AS mean FROM lineitem")
 def avg_global(spark, sf_dir):
     return A.group_by(table(spark, sf_dir, "lineitem"), A.avg_of(F.col("l_linenumber"), "mean"))
 
 
-@query("SELECT count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS total, CAST(avg(CAST(l_linenumber AS DOUBLE)) AS DECIMAL(18,4)) AS mean FROM lineitem")
+@query("SELECT count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS total, CAST(CAST(CAST(sum(l_linenumber) AS HUGEINT) * 10000 // count(*) AS DECIMAL(18,0)) * CAST(0.0001 AS DECIMAL(5,4)) AS DECIMAL(18,4)) AS mean FROM lineitem")
 def agg_multi(spark, sf_dir):
     x = F.col("l_linenumber")
     return A.group_by(table(spark, sf_dir, "lineitem"), A.count_all("n"), A.sum_of(x, "total"), A.avg_of(x, "mean"))
@@ -372,6 +370,14 @@ def div_numeric(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (unit * 100).cast("long").alias("unit_cents"))
 
 
+@query("SELECT * FROM (VALUES (CAST(0 AS BIGINT), CAST(0.99 AS DECIMAL(38,2)), CAST(-0.99 AS DECIMAL(38,2)), CAST(1.6666 AS DECIMAL(18,4)))) v(near_one, cut, cut_negative, mean)")
+def div_extremes(spark, sf_dir):
+    """Quotients just under one are cut off, whatever their size, and an average is."""
+    big, a, b = F.lit(9223372036854775807), F.lit(Decimal("9999999999999999.99")), F.lit(Decimal("10000000000000000.00"))
+    values = spark.createDataFrame([(1,), (2,), (2,)], "x int")
+    return A.group_by(values, ("agg", N.int_div(F.max(big - 1), F.max(big)), "near_one"), ("agg", dec(N.numeric_div(F.max(a), F.max(b), 2, 2), 2), "cut"), ("agg", dec(N.numeric_div(-F.max(a), F.max(b), 2, 2), 2), "cut_negative"), A.avg_of(F.col("x"), "mean"))
+
+
 # Relations of a version-control schema, and a wiki kept in plain relations
 
 
@@ -386,7 +392,7 @@ def versiontable_join(spark, sf_dir):
 WIKI = {
     "page": "SELECT page_id AS id, url AS title FROM pages",
     "revision": "SELECT doc_id AS id, doc_id AS textid, doc_id % 250 AS pageid, doc_id % 1500 AS userid FROM documents",
-    "content": "SELECT doc_id AS id, n_chars, lang FROM documents",
+    "content": "SELECT doc_id AS id, text FROM documents",
     "user": "SELECT c_custkey AS id, c_name AS name FROM customer",
 }
 
@@ -397,23 +403,23 @@ def wiki(spark, sf_dir):
     return {
         "page": page.select(F.col("page_id").alias("p_id"), F.col("url").alias("title")),
         "revision": doc.select(i.alias("r_id"), i.alias("textid"), (i % 250).alias("pageid"), (i % 1500).alias("userid")),
-        "content": doc.select(i.alias("c_id"), "n_chars", "lang"),
+        "content": doc.select(i.alias("c_id"), "text"),
         "user": cust.select(F.col("c_custkey").alias("u_id"), F.col("c_name").alias("name")),
     }
 
 
-@query(f"SELECT r.id, title, n_chars, lang FROM ({WIKI['revision']}) r, ({WIKI['content']}) c, ({WIKI['page']}) p WHERE c.id = r.textid AND p.id = r.pageid AND r.pageid = 17")
+@query(f"SELECT r.id, title, text FROM ({WIKI['revision']}) r, ({WIKI['content']}) c, ({WIKI['page']}) p WHERE c.id = r.textid AND p.id = r.pageid AND r.pageid = 17")
 def wiki_ms_unversioned(spark, sf_dir):
     w = wiki(spark, sf_dir)
     j = A.join(A.join(A.select(w["revision"], F.col("pageid") == 17), w["content"], [("textid", "c_id")]), w["page"], [("pageid", "p_id")])
-    return j.select(F.col("r_id").alias("id"), "title", "n_chars", "lang")
+    return j.select(F.col("r_id").alias("id"), "title", "text")
 
 
-@query(f"SELECT r.id, name, title, lang FROM ({WIKI['revision']}) r, ({WIKI['content']}) c, ({WIKI['page']}) p, ({WIKI['user']}) u WHERE u.id = r.userid AND c.id = r.textid AND p.id = r.pageid")
+@query(f"SELECT r.id, name, title, text FROM ({WIKI['revision']}) r, ({WIKI['content']}) c, ({WIKI['page']}) p, ({WIKI['user']}) u WHERE u.id = r.userid AND c.id = r.textid AND p.id = r.pageid")
 def wiki_mm_unversioned(spark, sf_dir):
     w = wiki(spark, sf_dir)
     j = A.join(A.join(A.join(w["revision"], w["content"], [("textid", "c_id")]), w["page"], [("pageid", "p_id")]), w["user"], [("userid", "u_id")])
-    return j.select(F.col("r_id").alias("id"), "name", "title", "lang")
+    return j.select(F.col("r_id").alias("id"), "name", "title", "text")
 
 
 @query("SELECT * FROM (VALUES (2, 2), (6, 1), (8, 2), (12, 1)) v(semester, n)")

@@ -241,9 +241,9 @@ def lineage_edges(spark, sf_dir):
 
 
 def wiki_session(spark, sf_dir) -> Session:
-    """Pages with short contents; branch1 was forked before master's updates, branch2 after some."""
+    """Pages with their whole contents; branch1 was forked before master's updates, branch2 after some."""
     c = Catalog(spark)
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("id"), F.col("url").alias("title"), (F.col("page_id") % 1500).alias("userid"), F.lit("first").alias("content"))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("id"), F.col("url").alias("title"), (F.col("page_id") % 1500).alias("userid"), F.col("html").alias("content"))
     c.register("page", pages, "id")
     c.register("user", spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), "id")
     db = Session(spark, c)
@@ -272,13 +272,13 @@ def _page(content: str) -> str:
 
 _USER = "SELECT c_name AS name FROM customer, pages WHERE page_id % 1500 = c_custkey AND page_id = 17"
 _wiki("wiki_t1_select_master", ["SELECT content FROM page p WHERE p.id = 17;"], _page("third"))
-_wiki("wiki_t2_select_branch1", ["SELECT content FROM page VERSION branch1 p WHERE p.id = 17;"], _page("first"))
+_wiki("wiki_t2_select_branch1", ["SELECT content FROM page VERSION branch1 p WHERE p.id = 17;"], "SELECT html AS content FROM pages WHERE page_id = 17")
 _wiki("wiki_t3_select_branch2", ["SELECT content FROM page VERSION branch2 p WHERE p.id = 17;"], _page("second"))
 _wiki("wiki_t4_join_master", ["SELECT name FROM user u , page p WHERE p.userid = u.id AND p.id = 17;"], _USER)
 _wiki("wiki_t5_join_branch1", ["SELECT name FROM user u , page VERSION branch1 p WHERE p.userid = u.id AND p.id = 17;"], _USER)
 _wiki("wiki_t6_join_branch2", ["SELECT name FROM user u , page VERSION branch2 p WHERE p.userid = u.id AND p.id = 17;"], _USER)
 for _k, _branch in enumerate(("", " VERSION branch1", " VERSION branch2")):
-    _after = f"SELECT page_id AS id, CASE WHEN page_id = 17 THEN 'Hello World!' ELSE 'first' END AS content FROM pages"
+    _after = f"SELECT page_id AS id, CASE WHEN page_id = 17 THEN 'Hello World!' ELSE html END AS content FROM pages"
     _wiki(f"wiki_t{7 + _k}_update", [f"UPDATE page{_branch} SET content = 'Hello World!' WHERE id = 17;", f"SELECT id, content FROM page{_branch};"], _after)
 _PAGE_NEW = "SELECT page_id AS id FROM pages UNION ALL SELECT 80000001"
 for _k, _branch in enumerate(("", " VERSION branch1")):
@@ -287,6 +287,105 @@ for _k, _branch in enumerate(("", " VERSION branch1", " VERSION branch2")):
     _wiki(f"wiki_t{12 + _k}_delete", [f"DELETE FROM page{_branch} WHERE id = 17;", f"SELECT id FROM page{_branch};"], "SELECT page_id AS id FROM pages WHERE page_id <> 17")
 
 
+# The same wiki without versions of rows: a page's contents are revisions in plain relations
+
+
+_CONTENT_ID, _REVISION_ID = 90000001, 90000002
+
+
+def _plain_wiki(spark, sf_dir) -> Session:
+    docs, c = spark.read.parquet(f"{sf_dir}/documents.parquet"), Catalog(spark)
+    i = F.col("doc_id")
+    c.register("revision", docs.select(i.alias("id"), (i % 250).alias("page"), i.alias("content"), (i % 1500).alias("author")), "id")
+    c.register("content", docs.select(i.alias("id"), "text"), "id")
+    return Session(spark, c)
+
+
+def _plain(name: str, statements: list[str], sql: str):
+    def run(spark, sf_dir):
+        db = _plain_wiki(spark, sf_dir)
+        for s in statements:
+            db.sql(s)
+        return db.sql("SELECT r.id, r.page, t.text FROM content t, revision r WHERE t.id = r.content;").toDF("id", "page", "text")
+
+    run.__name__ = name
+    query(sql)(run)
+
+
+_REVISIONS = "SELECT doc_id AS id, doc_id % 250 AS page, text FROM documents"
+_ADD = [f"INSERT INTO content ( text , id ) VALUES ( 'A new text.' , {_CONTENT_ID} );", f"INSERT INTO revision ( content , page , author , id ) VALUES ( {_CONTENT_ID} , 17 , 5 , {_REVISION_ID} );"]
+_plain("wiki_unversioned_insert", _ADD, f"{_REVISIONS} UNION ALL SELECT {_REVISION_ID}, 17, 'A new text.'")
+_plain("wiki_unversioned_update", ["UPDATE content SET text = 'Rewritten.' WHERE id = 17;", *_ADD], f"SELECT doc_id AS id, doc_id % 250 AS page, CASE WHEN doc_id = 17 THEN 'Rewritten.' ELSE text END AS text FROM documents UNION ALL SELECT {_REVISION_ID}, 17, 'A new text.'")
+_plain("wiki_unversioned_delete", ["DELETE FROM revision WHERE page = 17;", "DELETE FROM content WHERE id = 17;"], f"{_REVISIONS} WHERE doc_id % 250 <> 17")
+
+
+# Sums over a branch with a long log
+
+
+@query("SELECT CAST(sum(o_orderkey + CASE left(o_orderpriority, 1) WHEN '5' THEN o_custkey ELSE CAST(left(o_orderpriority, 1) AS BIGINT) * 10 END + year(o_orderdate)) AS BIGINT) AS total, count(*) AS n FROM orders WHERE o_orderstatus <> 'P' OR o_orderpriority <> '5-LOW'")
+def version_tuple_sum(spark, sf_dir):
+    """Every row of a branch in which most were changed, some of them twice, and some deleted."""
+    c = Catalog(spark)
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", F.year("o_orderdate").alias("year"))
+    c.register("purchase", orders, "o_orderkey")
+    c.create_branch("b1")
+    for k in (3, 1, 2, 3, 4):
+        dml.update(c, "purchase", {"o_custkey": F.lit(k * 10)}, F.col("o_orderpriority").startswith(str(k)), "b1")
+    dml.delete(c, "purchase", (F.col("o_orderpriority") == "5-LOW") & (F.col("o_orderstatus") == "P"), "b1")
+    dml.update(c, "purchase", {"o_custkey": F.lit(0)}, F.col("o_orderstatus") == "O")  # master's, not the branch's
+    rows = V.resolve(c, "purchase", "b1")
+    return rows.agg(F.sum(F.col("o_orderkey") + F.col("o_custkey") + F.col("year")).alias("total"), F.count(F.lit(1)).alias("n"))
+
+
+# Joins of a warehouse: keys of several columns and literals
+
+
+def _warehouse(spark, sf_dir) -> Session:
+    """Depots are nations, areas ten for each; buyers, purchases and lines carry their depot and area."""
+    c, read = Catalog(spark), lambda t: table(spark, sf_dir, t)
+    c.register("depot", read("nation").select(F.col("n_nationkey").cast("long").alias("w"), F.col("n_name").alias("title")), "w")
+    n = F.col("id")
+    c.register("area", spark.range(250).select(n.alias("key"), F.floor(n / 10).alias("w"), (n % 10).alias("a"), F.concat(F.lit("area "), n).alias("title")), "key")
+    buyers = read("customer").select(F.col("c_custkey").alias("b"), F.col("c_nationkey").cast("long").alias("w"), (F.col("c_custkey") % 10).alias("a"), F.col("c_name").alias("given"), F.col("c_mktsegment").alias("family"))
+    c.register("buyer", buyers, "b")
+    orders = read("orders").select(F.col("o_orderkey").alias("p"), F.col("o_custkey").alias("b")).join(buyers.select("b", "w", "a"), "b").select("p", "b", "w", "a")
+    c.register("purchase", orders, "p")
+    c.register("article", read("part").select(F.col("p_partkey").alias("i"), F.col("p_name").alias("title")), "i")
+    lines = read("lineitem").select(F.col("l_orderkey").alias("p"), F.col("l_linenumber").cast("long").alias("number"), F.col("l_partkey").alias("i"), F.col("l_returnflag").alias("info"))
+    # No line is ever changed here, so its key needn't be unique.
+    c.register("line", lines.join(orders, "p").select((F.col("p") * 8 + F.col("number")).alias("key"), "p", "w", "a", "number", "i", "info"), "key")
+    return Session(spark, c)
+
+
+_WAREHOUSE = """WITH depot AS (SELECT CAST(n_nationkey AS BIGINT) AS w, n_name AS title FROM nation),
+area AS (SELECT range // 10 AS w, range % 10 AS a, 'area ' || range AS title FROM range(250)),
+buyer AS (SELECT c_custkey AS b, CAST(c_nationkey AS BIGINT) AS w, c_custkey % 10 AS a, c_name AS given, c_mktsegment AS family FROM customer),
+purchase AS (SELECT o_orderkey AS p, b, w, a FROM orders JOIN buyer ON o_custkey = b),
+article AS (SELECT p_partkey AS i, p_name AS title FROM part),
+line AS (SELECT p, w, a, CAST(l_linenumber AS BIGINT) AS number, l_partkey AS i, l_returnflag AS info FROM lineitem JOIN purchase ON l_orderkey = p)
+"""
+
+
+def _tpcc(name: str, statement: str, columns: str):
+    def run(spark, sf_dir):
+        return _warehouse(spark, sf_dir).sql(statement).toDF(*columns.split())
+
+    run.__name__ = name
+    head, tail = statement.rstrip(";").split(" FROM ")
+    named = ", ".join(f"{c} AS {n}" for c, n in zip(head.removeprefix("SELECT ").split(", "), columns.split()))
+    query(f"{_WAREHOUSE}SELECT {named} FROM {tail}")(run)
+
+
+_KEYS = "l.p = o.p AND l.a = o.a AND l.w = o.w"
+_tpcc("tpcc_q1", "SELECT w FROM depot d;", "w")
+_tpcc("tpcc_q2", "SELECT b, given, family FROM buyer b WHERE b.family = 'BUILDING';", "b given family")
+_tpcc("tpcc_q3", "SELECT r.title FROM area r, purchase o WHERE r.w = o.w AND r.a = o.a AND o.p = 7;", "title")
+_tpcc("tpcc_q4", f"SELECT o.p, l.info FROM purchase o, line l WHERE {_KEYS} AND l.number = 1 AND l.p = 100;", "p info")
+_tpcc("tpcc_q5", f"SELECT o.p, l.info FROM line l, purchase o WHERE {_KEYS} AND l.number = 1;", "p info")
+_tpcc("tpcc_q6", f"SELECT u.family, o.p, t.i, l.info FROM buyer u, purchase o, line l, article t WHERE u.b = o.b AND u.a = o.a AND u.w = o.w AND {_KEYS} AND l.number = 1 AND t.i = l.i;", "family p i info")
+_tpcc("tpcc_q7", f"SELECT u.family, o.p, l.info FROM buyer u, purchase o, line l WHERE u.b = o.b AND {_KEYS} AND l.number = 1 AND l.p = 100;", "family p info")
+
+
 # Statements, files and schemas
 
 
@@ -333,15 +432,31 @@ def copy_roundtrip_tbl(spark, sf_dir):
     return _copied(spark, sf_dir, "tbl", True)
 
 
-@query(f"SELECT o_orderkey, {m('o_totalprice')} AS o_totalprice, {d('o_orderdate')} AS o_orderdate FROM orders WHERE o_orderkey % 2 = 0")
+@query("SELECT * FROM (VALUES ('', 'a'), ('x', ''), ('', '')) v(one, other)")
+def copy_empty_texts(spark, sf_dir):
+    """Empty texts survive a file, in a table of one column (where they are empty lines) too."""
+    db, folder = Session(spark), shared_folder(spark)
+    db.script("CREATE TABLE t ( one TEXT NOT NULL, other TEXT NOT NULL ); CREATE TABLE u ( one TEXT NOT NULL, other TEXT NOT NULL ); CREATE TABLE single ( one TEXT NOT NULL ); CREATE TABLE back ( one TEXT NOT NULL )")
+    for a, b in (("", "a"), ("x", ""), ("", "")):
+        db.sql(f"INSERT INTO t VALUES ('{a}', '{b}')")
+        db.sql(f"INSERT INTO single VALUES ('{a}')")
+    for source, target in (("t", "u"), ("single", "back")):
+        db.sql(f"COPY {source} TO '{folder}/{target}' WITH FORMAT csv")
+        db.sql(f"COPY {target} FROM '{folder}/{target}' WITH FORMAT csv")
+    pairs, ones = db.sql("SELECT * FROM u"), db.sql("SELECT * FROM back").groupBy("one").agg(F.count(F.lit(1)).alias("n"))
+    times = pairs.groupBy("one").agg(F.count(F.lit(1)).alias("n"))
+    return pairs.join(ones.intersect(times).select("one"), "one").select("one", "other")
+
+
+@query(f"SELECT o_orderkey, {m('o_totalprice')} AS o_totalprice, {d('o_orderdate')} AS o_orderdate FROM orders")
 def bulk_load(spark, sf_dir):
-    """All orders through a .tbl file into a log-backed table; of what it then holds, the rows of the SQL."""
+    """All orders through a .tbl file into a log-backed table."""
     c, folder = Catalog(spark), shared_folder(spark)
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderdate")
     copying.write_separated(o, f"{folder}/orders.tbl", "tbl")
     c.create_table("orders", o.schema)
     copying.copy_from(c, "orders", f"{folder}/orders.tbl", "tbl")
-    return V.resolve(c, "orders").where(F.col("o_orderkey") % 2 == 0)
+    return V.resolve(c, "orders")
 
 
 _DDL = """

@@ -28,9 +28,9 @@ class Databases:
         out = []
         with self.lock:
             for statement in split(text):
-                df, timings = self.all[n].timed(statement)
-                rows = [] if df is None else (df.limit(limit) if limit else df).collect()
-                out.append({"columns": [] if df is None else df.columns, "content": [[show(v) for v in r] for r in rows], "timings": timings})
+                got, timings = self.all[n].timed(statement, lambda df: (df.columns, (df.limit(limit) if limit else df).collect()))
+                columns, rows = got or ([], [])
+                out.append({"columns": columns, "content": [[show(v) for v in r] for r in rows], "timings": timings})
         return out
 
 
@@ -61,6 +61,8 @@ def handler(databases: Databases):
                     self.reply(200, databases.run(n, text))
                 except StatementError as e:
                     self.reply(400, {"error": str(e)})
+                except Exception as e:  # such as a division by zero in the rows: an answer all the same
+                    self.reply(500, {"error": str(e).splitlines()[0] if str(e) else type(e).__name__})
 
         def do_GET(self):
             if (n := self.number()) is not None:

@@ -34,18 +34,32 @@ class Folder:
         return p.getFileSystem(self.conf), p
 
     def write_text(self, name: str, text: str) -> None:
-        """Replaces the file by renaming a finished one."""
-        fs, new = self._at(f"{name}.new")
+        """A new generation of the file, finished before it gets its name, and only then are
+        older ones deleted: whenever this is broken off, read_text() finds a whole file."""
+        fs, _ = self._at(name)
+        had = self._generations(name)
+        number = had[-1] + 1 if had else 1
+        _, new = self._at(f"{name}.{number}.new")
         out = fs.create(new, True)
         out.write(bytearray(text.encode()))
         out.close()
-        _, old = self._at(name)
-        if fs.exists(old):
-            fs.delete(old, False)
-        fs.rename(new, old)
+        if not fs.rename(new, self._at(f"{name}.{number}")[1]):
+            raise OSError(f"{self.path(name)} can't be written")
+        for old in had:
+            fs.delete(self._at(f"{name}.{old}")[1], False)
+
+    def _generations(self, name: str) -> list[int]:
+        fs, root = self._at(name)
+        if not fs.exists(root.getParent()):
+            return []
+        found = (f.getPath().getName() for f in fs.listStatus(root.getParent()))
+        return sorted(int(n[len(name) + 1 :]) for n in found if n.startswith(f"{name}.") and n[len(name) + 1 :].isdigit())
 
     def read_text(self, name: str) -> str:
-        fs, p = self._at(name)
+        had = self._generations(name)
+        if not had:
+            raise FileNotFoundError(self.path(name))
+        fs, p = self._at(f"{name}.{had[-1]}")
         stream = fs.open(p)
         try:
             return self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")

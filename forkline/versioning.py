@@ -18,6 +18,11 @@ from .catalog import MASTER, Catalog, Table
 from .errors import SemanticError
 
 
+#: So many ids of changed rows (eight bytes each; the metadata counts them) are sent to every
+#: task at most, so that a base with few changes isn't shuffled; beyond it both sides are.
+SENT_IDS = 2_000_000
+
+
 def _first_images(catalog: Catalog, table: Table, branch: str) -> DataFrame:
     """_tid, _seq and the columns of every row's first image that the branch sees."""
     parts = []
@@ -45,7 +50,9 @@ def latest(catalog: Catalog, name: str, branch: str = MASTER) -> DataFrame:
     first, last = _first_images(catalog, table, branch), _last_changes(catalog, table, branch)
     if last is None:
         return first
-    untouched = first.join(last.select("_tid"), "_tid", "left_anti")
+    # Every row that has a change, live or not: their ids only, which needn't be different.
+    ids = catalog.log(table, "changes", branch).select("_tid")
+    untouched = first.join(F.broadcast(ids) if table.changed <= SENT_IDS else ids, "_tid", "left_anti")
     return untouched.unionByName(last.where(~F.col("_deleted")).drop("_deleted"))
 
 

@@ -29,18 +29,22 @@ class Session:
     def script(self, text: str) -> list[DataFrame | None]:
         return [self.sql(s) for s in P.split(text)]
 
-    def timed(self, text: str) -> tuple[DataFrame | None, dict[str, float]]:
+    def timed(self, text: str, fetch=None) -> tuple[DataFrame | None, dict[str, float]]:
         """Like sql(), with microseconds: parsing, planning (for statements without rows also
-        their work) and running; the rows are computed and kept by the returned frame's plan."""
+        their work) and running. The rows are computed once: with `fetch`, which is called
+        with the frame, its result stands in the frame's place; otherwise they are thrown
+        away, and the frame would compute them again."""
         t0 = time.perf_counter()
         tree = P.parse(text)
         t1 = time.perf_counter()
-        df = self.run(tree)
+        out = df = self.run(tree)
         t2 = time.perf_counter()
-        if df is not None:
+        if df is not None and fetch:
+            out = fetch(df)
+        elif df is not None:
             df.write.format("noop").mode("overwrite").save()
         t3 = time.perf_counter()
-        return df, {"parsing": (t1 - t0) * 1e6, "compilation": (t2 - t1) * 1e6, "execution": (t3 - t2) * 1e6}
+        return out, {"parsing": (t1 - t0) * 1e6, "compilation": (t2 - t1) * 1e6, "execution": (t3 - t2) * 1e6}
 
     def run(self, s) -> DataFrame | None:
         c = self.catalog
