@@ -12,22 +12,25 @@ of an item of 10 to 14 words has. Those ten are five pairs, of which three are u
 PAIRS has each choice of three pairs, but for shifts. Of 15 to 17 words three may be
 substituted; if all three are in each ten words, the first and last five are untouched
 (ENDS). Of 5 to 9 words one may be substituted, and SHORT leaves out each of the first five.
+Of 4 or fewer none may be: WHOLE looks at them all.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, words_of_worker, hinted, odd_constants, ship, small, written
+from .common import Words, held, hinted, id_longs, odd_constants, ship, small, text_bytes, words_of_worker, written
 
 #: Positions that each mask looks at, and the least and most words of the items that it is for.
 PAIRS = ((0, 1, 2, 3, 4, 5), (0, 1, 2, 3, 6, 7), (0, 1, 4, 5, 6, 7), (0, 1, 2, 3, 8, 9), (0, 1, 6, 7, 8, 9), (0, 1, 4, 5, 8, 9))
 ENDS = (0, 1, 2, 3, 4, 10, 11, 12, 13, 14)
 SHORT = ((0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 4), (0, 2, 3, 4))
-MASKS = (*((m, 10, None) for m in PAIRS), (ENDS, 15, 17), *((m, 5, 9) for m in SHORT))
+WHOLE = ((0,), (0, 1), (0, 1, 2), (0, 1, 2, 3))
+MASKS = (*((m, 10, None) for m in PAIRS), (ENDS, 15, 17), *((m, 5, 9) for m in SHORT), *((m, len(m), len(m)) for m in WHOLE))
 SPAN = 15
 
 #: A stretch is an overlap if it has so many words (or the whole item, if that is shorter) ...
@@ -35,7 +38,7 @@ MIN_WORDS = 18
 #: ... of which so many are equal.
 MIN_SHARE = 0.8
 _STEPS = (1, -4)  # of an equal and a substituted word; a stretch has MIN_SHARE where they sum to 0 or more
-#: Items with fewer words are too common to search for.
+#: Where the caller says nothing else, items with fewer words are too common to search for.
 MIN_ITEM = 5
 #: For the stretch that is reported each equal word adds 1, each substituted one takes so much.
 PENALTY = 2.0
@@ -134,15 +137,15 @@ class Index:
     def search(self, docs: list[np.ndarray]) -> list[tuple]:
         """(which document, item id, doc start, item start, words, equal words): for each
         document and item the best stretch. The documents are hashed as one array; a seed
-        over the border of two is a candidate like any other, and verified within the one
-        in which it starts."""
+        over the border of two is none, so what is found doesn't depend on neighbours."""
         if not self.masks or not docs:
             return []
         text, lengths = np.concatenate(docs), np.array([len(d) for d in docs], np.int64)
         borders = np.concatenate([[0], np.cumsum(lengths)])
         diagonals: list[np.ndarray] = []
-        for s, (h, owner, place, bitmap, drop) in zip(_seeds(text, self.masks), self.tables):
+        for which, s, (h, owner, place, bitmap, drop) in zip(self.masks, _seeds(text, self.masks), self.tables):
             near = np.flatnonzero(bitmap[(s >> drop).astype(np.int64)])
+            near = near[near + MASKS[which][0][-1] < borders[np.searchsorted(borders, near, "right")]]
             lo, hi = np.searchsorted(h, s[near], "left"), np.searchsorted(h, s[near], "right")
             near, lo, hi = near[hi > lo], lo[hi > lo], hi[hi > lo]
             for a, b in _slices(hi - lo):
@@ -196,12 +199,12 @@ def _slices(sizes: np.ndarray):
         at = stop
 
 
-def _groups(rows, words: Words, most: int = 1 << 18):
+def _groups(rows, words: Words, least: int, most: int = 1 << 18):
     """Runs of rows with about `most` words together, as hashed texts; `rows` end with the text."""
     some, arrays, total = [], [], 0
     for row in rows:
         w = words(row[-1])
-        if len(w) >= MIN_ITEM:
+        if len(w) >= least:
             some.append(row)
             arrays.append(w)
             total += len(w)
@@ -221,38 +224,56 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(_KINDS)], _NAMES)
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", index_items: int = 200_000) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", index_items: int = 200_000, index_bytes: int = 64 << 20, min_item: int = MIN_ITEM) -> DataFrame:
     """(doc_id, text_hash, item_id, doc_start, item_start, n_words, n_equal): for each row of
     `docs` and each item with a verified overlap, the best one, in words.
 
     An overlap has MIN_WORDS words (or all of a shorter item's) of which MIN_SHARE are equal.
-    Null and empty texts overlap with nothing, on either side; items under MIN_ITEM words
-    aren't searched for. Rows with a null or repeated id are each reported. Items with one
-    id and different texts are each searched for, and may give a row each.
-
-    Up to `index_items` items the seeds are sent to every task and joined there, in one pass
-    over the documents; above that the two sides' seeds are shuffled and joined by hash, and
-    the pairs found are verified after joining their texts.
+    Null and empty texts overlap with nothing, on either side; items under `min_item` words
+    (1: none) aren't searched for. Rows with a null or repeated id are each reported. Items
+    with one id and different texts are each searched for, and may give a row each. Ids are
+    whole numbers on both sides; others are refused with a TypeError.
+
+    Up to `index_items` items of `index_bytes` together, both counted, the seeds are sent to
+    every task and joined there, in one pass over the documents; above that the two sides'
+    seeds are shuffled and joined by hash, and the pairs found are verified after joining
+    their texts. Both give the same rows.
     """
     ship(docs.sparkSession)
     text = docs[text_col]
-    d = docs.select(docs[id_col].cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("t")).where(F.length("t") > 0)
-    b = benchmark.select(benchmark[item_col].cast("long").alias("item"), benchmark[item_text_col].alias("bt")).where(F.length("bt") > 0).distinct()
-    if small(b, index_items):
+    d = docs.select(id_longs(docs, id_col).alias("id"), F.xxhash64(text).alias("th"), text.alias("t")).where(F.length("t") > 0)
+    b = benchmark.select(id_longs(benchmark, item_col).alias("item"), benchmark[item_text_col].alias("bt")).where(F.length("bt") > 0).distinct()
+    if small(b, index_items) and text_bytes(b, "bt") <= index_bytes:
         rows = [(r["item"], r["bt"]) for r in b.orderBy("item", "bt").toLocalIterator()]
+        digest = xxhash.xxh3_128()
+        for i, t in rows:
+            digest.update(f"{i} {len(t)} {t}".encode("utf-8", "surrogatepass"))
+        key = ("overlaps", min_item, digest.hexdigest())
+
+        def make():
+            words = Words()
+            return words, Index([(i, w) for i, w in ((i, words(t)) for i, t in rows) if len(w) >= min_item])
 
         def run(batches):
-            words = words_of_worker()
-            index = Index([(i, words(t)) for i, t in rows])
+            words, index = held(key, make)  # built once in a worker, not in each task
             for batch in batches:
-                for some, arrays in _groups(zip(*(c.to_pylist() for c in batch.columns)), words):
+                for some, arrays in _groups(zip(*(c.to_pylist() for c in batch.columns)), words, min(min_item, MIN_WORDS)):
                     out = [(*some[d][:2], *m) for d, *m in index.search(arrays)]
                     if out:
                         yield _batch(out)
 
         return d.mapInArrow(run, OUT)
 
-    masks = sorted(r[0] for r in b.mapInArrow(_masks_of, "mask int").distinct().collect())  # at most len(MASKS) values
+    def of_item(n):
+        return _own_masks(n) if n >= min_item else []
+
+    def masks_of(batches):
+        words = words_of_worker()
+        for batch in batches:
+            some = sorted({k for t in batch.column(1).to_pylist() for k in of_item(len(words(t)))})
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32())], ["mask"])
+
+    masks = sorted(r[0] for r in b.mapInArrow(masks_of, "mask int").distinct().collect())  # at most len(MASKS) values
 
     def seeds_of(is_item):
         def run(batches):
@@ -260,15 +281,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
             for batch in batches:
                 for t in batch.column(0).to_pylist():
                     w = words(t)
-                    h = np.unique(np.concatenate([np.empty(0, np.uint64), *_seeds(w, _own_masks(len(w)) if is_item else masks)]))
+                    h = np.unique(np.concatenate([np.empty(0, np.uint64), *_seeds(w, of_item(len(w)) if is_item else masks)]))
                     if len(h):
                         yield pa.RecordBatch.from_arrays([pa.array([t] * len(h), pa.string()) if is_item else pa.array(np.full(len(h), xxh(t), np.int64)), pa.array(h.view(np.int64))], ["k", "h"])
 
         return run
 
     def xxh(t):
-        import xxhash
-
         return xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63)
 
     def with_key(batches):
@@ -293,16 +312,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     return ready.mapInArrow(verify, OUT)
 
 
-def _masks_of(batches):
-    words = words_of_worker()
-    for batch in batches:
-        masks = sorted({k for t in batch.column(1).to_pylist() for k in _own_masks(len(words(t)))})
-        yield pa.RecordBatch.from_arrays([pa.array(masks, pa.int32())], ["mask"])
-
-
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of `docs`, with their columns, that overlap with no item (see overlaps()).
-    Rows with null or empty text stay."""
+    """The rows of `docs`, with their columns, that overlap with no item (see overlaps(),
+    which takes the further parameters). Rows with null or empty text stay, and so do all
+    rows if there are no items; an empty table gives an empty one."""
     return drop_rows(docs, overlaps(docs, benchmark, id_col, text_col, **how), id_col, text_col)
 
 

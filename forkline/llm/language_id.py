@@ -129,13 +129,15 @@ UNTRAINED = Model((), np.empty((0, 0)), np.empty((0, BUCKETS + 1), np.float32),
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = 500) -> Model:
     """Fit on a bounded sample of labelled rows: of each language the `rows_per_language`
     rows whose ids have the smallest hashes. That bound is the only thing sampled. The ids
-    are chosen without reading any text; rows without id, language or text aren't used. If
-    that leaves no row, the model knows no language."""
+    are chosen without reading any text; rows without id, language or text aren't used. Of
+    rows that share id and language one is used, that whose text has the smallest hash, so
+    repeated ids don't break the bound. If that leaves no row (an empty table, say), the
+    model knows no language."""
     known = docs.select(docs[id_col].alias("id"), docs[lang_col].alias("lang")).dropna().withColumn("h", F.xxhash64("id"))
     first = known.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("n") <= rows_per_language).select("id", "lang").distinct()
     chosen = [(r["id"], r["lang"]) for r in first.collect()]  # languages x rows_per_language
     pairs = F.broadcast(docs.sparkSession.createDataFrame(chosen, first.schema))
-    rows = docs.select(docs[id_col].alias("id"), docs[lang_col].alias("lang"), docs[text_col].alias("t")).where(F.length("t") > 0).join(pairs, ["id", "lang"])
+    rows = docs.select(docs[id_col].alias("id"), docs[lang_col].alias("lang"), docs[text_col].alias("t")).where(F.length("t") > 0).join(pairs, ["id", "lang"]).groupBy("id", "lang").agg(F.min_by("t", F.struct(F.xxhash64("t"), "t")).alias("t"))
     got = sorted((r["lang"], r["id"], r["t"]) for r in rows.select("lang", "id", "t").toLocalIterator())
     return fit([t for _, _, t in got], [x for x, _, _ in got]) if got else UNTRAINED
 
@@ -169,7 +171,8 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", min_margin:
 
 
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", min_margin: float = 0.02) -> DataFrame:
-    """The rows of `docs`, with their columns, whose language was told without ambiguity."""
+    """The rows of `docs`, with their columns, whose language was told without ambiguity. Null,
+    empty and tiny texts have none and go; with a model that knows no language all rows go."""
     found = identify(docs, model, text_col, min_margin)
     flag = found.columns[-1]
     return found.where(~F.col(flag)).select(*docs.columns)

@@ -12,13 +12,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_name, fresh, ship, small, written
+from .common import drop_name, fresh, ship, small, text_bytes, written
 
 #: A line on so many distinct sites is boilerplate.
 MIN_SITES = 12
 #: Estimates this share around the threshold are counted exactly: six standard errors of a
 #: sketch with 2**12 registers.
 NEAR, LG_K = 0.1, 12
+#: Counted bytes of the near-threshold lines that may be broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
 def _lines(docs: DataFrame, site_col: str, text_col: str) -> DataFrame:
@@ -39,25 +41,25 @@ def boilerplate_lines(docs: DataFrame, site_col: str = "source", text_col: str =
     spread = written(asked.groupBy("h", "line").agg(F.hll_sketch_agg("site", LG_K).alias("sketch")).select("h", "line", F.hll_sketch_estimate("sketch").alias("sites")))
     clear = spread.where(F.col("sites") >= min_sites * (1 + NEAR)).select("line")
     near = spread.where((F.col("sites") < min_sites * (1 + NEAR)) & (F.col("sites") > min_sites * (1 - NEAR))).select("h", "line")
-    exact = asked.join(F.broadcast(near) if small(near) else near, ["h", "line"]).groupBy("h", "line").agg(F.countDistinct("site").alias("sites"))
+    exact = asked.join(F.broadcast(near) if small(near) and text_bytes(near, "line") <= BROADCAST_BYTES else near, ["h", "line"]).groupBy("h", "line").agg(F.countDistinct("site").alias("sites"))
     return clear.unionByName(exact.where(F.col("sites") >= min_sites).select("line"))
 
 
-def remove_boilerplate(docs: DataFrame, site_col: str = "source", text_col: str = "text", min_sites: int = MIN_SITES, broadcast_lines: int = 200_000) -> DataFrame:
+def remove_boilerplate(docs: DataFrame, site_col: str = "source", text_col: str = "text", min_sites: int = MIN_SITES, broadcast_lines: int = 200_000, broadcast_bytes: int = 64 << 20) -> DataFrame:
     """All rows and columns of `docs`, with the boilerplate lines taken out of the text, and
     `n_removed` (under a free name).
 
     A null text stays null with 0 removed; a text of boilerplate lines only becomes empty;
     all other lines keep their order, repeated ones included. Rows aren't merged.
 
-    Up to `broadcast_lines` lines are sent to the tasks, and the documents are rewritten in
-    one narrow pass. Beyond that the documents' lines are joined with them by hash and each
+    Up to `broadcast_lines` lines of `broadcast_bytes` together, both counted, are sent to the
+    tasks, and the documents are rewritten in one narrow pass. Beyond that the documents' lines are joined with them by hash and each
     document gets the numbers of its lines to drop.
     """
     ship(docs.sparkSession)
     n_removed = fresh("n_removed", docs)
     lines = written(boilerplate_lines(docs, site_col, text_col, min_sites))
-    if small(lines, broadcast_lines):
+    if small(lines, broadcast_lines) and text_bytes(lines, "line") <= broadcast_bytes:
         known = docs.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in lines.collect()))
         at = docs.columns.index(text_col)
 
@@ -77,14 +79,16 @@ def remove_boilerplate(docs: DataFrame, site_col: str = "source", text_col: str
         return docs.mapInArrow(run, drop_name(docs, n_removed, "long"))
 
     key, numbers = fresh("_key", docs), fresh("_numbers", docs)
-    # Equal texts lose the same lines: a row's key is its text's hash and length, checked by the line's content.
+    # Equal texts lose the same lines: a row's key is its text's hash and length. Of two texts
+    # that share a key each loses only lines whose own hash is that of a line to drop.
     keyed = docs.withColumn(key, F.struct(F.xxhash64(text_col), F.hash(text_col), F.length(text_col)))
     each = keyed.where(F.col(text_col).isNotNull()).select(key, F.posexplode(F.split(text_col, "\n", -1)).alias("n", "line")).withColumn("h", F.xxhash64("line"))
     hits = each.join(lines.withColumn("h", F.xxhash64("line")), ["h", "line"], "left_semi")
-    drops = written(hits.groupBy(key).agg(F.collect_set("n").alias(numbers)))
+    drops = written(hits.groupBy(key).agg(F.collect_set(F.struct("n", "h")).alias(numbers)))
     joined = keyed.join(drops, key, "left")
-    kept = F.filter(F.split(text_col, "\n", -1), lambda x, i: ~F.array_contains(F.col(numbers), i))
+    parts = F.split(text_col, "\n", -1)
+    kept = F.filter(parts, lambda x, i: ~F.array_contains(F.col(numbers), F.struct(i.alias("n"), F.xxhash64(x).alias("h"))))
     return joined.select(
         *[F.when(F.col(numbers).isNull(), F.col(c)).otherwise(F.array_join(kept, "\n")).alias(c) if c == text_col else F.col(c) for c in docs.columns],
-        F.coalesce(F.size(F.col(numbers)), F.lit(0)).cast("long").alias(n_removed),
+        F.when(F.col(numbers).isNull(), F.lit(0)).otherwise(F.size(parts) - F.size(kept)).cast("long").alias(n_removed),
     )

@@ -289,3 +289,10 @@ def test_frequency_classes_never_fall():
     df = np.unique(np.concatenate([np.arange(1, 5000), 1 << np.arange(50)]))
     c = ngram_join.frequency_class(df).astype(int)
     assert (np.diff(c) >= 0).all() and c[0] == 1 and c.max() == 255
+
+
+def test_exact_dedup_of_rows_with_maps(spark):
+    df = spark.sql("SELECT CAST(id % 2 AS BIGINT) AS doc_id, 'same' AS text, map('k', id) AS m, array(struct(map(id, 1) AS n)) AS deep FROM range(6)")
+    for limit in (1_000_000, 0):
+        got = exact_dedup(df, broadcast_rows=limit).collect()
+        assert [(r["doc_id"], r["text"], r["n_copies"]) for r in got] == [(0, "same", 6)]

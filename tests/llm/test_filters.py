@@ -188,3 +188,56 @@ def test_an_edge_word_may_differ(spark, docs, prose, index_items):
             rows.append((100 * n + k, " ".join(["before", *words[:k], "changed", *words[k + 1 :], "after"])))
     got = D.overlaps(docs(rows), spark.createDataFrame(items, "item_id long, text string"), index_items=index_items).collect()
     assert {(r["doc_id"], r["item_id"]) for r in got} >= {(i, i // 100) for i, _ in rows}
+
+
+def test_a_document_alone_and_beside_others():
+    """Which documents share an array decides nothing, seeds over their borders least of all."""
+    rng = np.random.default_rng(1)
+    items = [(n, rng.integers(1, 50, n, dtype=np.uint64)) for n in (1, 2, 3, 4, 5, 7, 10, 15, 18, 25)]
+    index, texts = D.Index(items), []
+    for n, item in items:
+        for cut in range(0, n + 1, max(1, n // 4)):
+            texts += [item[:cut], item[cut:], np.concatenate([item[cut:], item[:cut]])]
+    alone = [(k, *m[1:]) for k, t in enumerate(texts) for m in index.search([t])]
+    assert sorted(index.search(texts)) == sorted(alone) and len(alone) > 30
+    back = texts[::-1]
+    assert sorted((len(texts) - 1 - d, *m) for d, *m in index.search(back)) == sorted(alone)
+
+
+def test_both_plans_give_the_same_rows(spark, docs, prose):
+    items = [(n, " ".join(prose(n, 900 + n))) for n in (1, 2, 3, 4, 5, 8, 12, 16, 18, 30)]
+    bench, rows = spark.createDataFrame(items, "item_id long, text string"), []
+    for n, t in items:
+        w = t.split()
+        for k in range(6):
+            changed = [x if (j + k) % 6 else "changed" for j, x in enumerate(w)] if k % 2 else w
+            rows.append((100 * n + k, " ".join([*prose(k, k), *changed[: len(w) - k // 3], *prose(3, 50 + k)])))
+    for least in (1, 5, 13):
+        how = dict(min_item=least)
+        narrow = [sorted(map(tuple, D.overlaps(docs(rows).repartition(p), bench, **how).collect())) for p in (1, 7)]
+        for other in (dict(index_items=0), dict(index_bytes=10)):
+            assert narrow[0] == narrow[1] == sorted(map(tuple, D.overlaps(docs(rows), bench, **how, **other).collect()))
+        assert {i for _, _, i, *_ in narrow[0]} == {n for n, _ in items if n >= least}
+
+
+def test_ids_that_are_no_numbers_are_refused(spark, docs):
+    named = spark.createDataFrame([("a", "some text")], "doc_id string, text string")
+    bench = spark.createDataFrame([(1, "some text")], "item_id long, text string")
+    for left, right in ((named, bench), (docs([(1, "x")]), bench.selectExpr("'k' AS item_id", "text"))):
+        with pytest.raises(TypeError, match="whole numbers"):
+            D.overlaps(left, right)
+
+
+def test_training_keeps_its_bound_where_ids_repeat(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(L, "fit", lambda texts, langs: seen.append(len(texts)))
+    df = spark.range(3000).selectExpr("CAST(7 AS BIGINT) AS doc_id", "concat('text ', id) AS text", "if(id % 3 = 0, 'en', 'fr') AS lang")
+    L.train(df, rows_per_language=10)
+    assert 0 < seen[0] <= 20
+
+
+def test_language_id_without_rows_or_labels(docs):
+    for df in (docs([]), docs([(1, "some text", None, "s", 1)]), docs([(1, None), (2, "")])):
+        model = L.train(df)
+        assert [r["ambiguous"] for r in L.identify(df, model).collect()] == [True] * df.count()
+        assert L.keep_identified(df, model).count() == 0
