@@ -69,6 +69,12 @@ def test_stages_keep_odd_rows(spark, docs, odd_rows, tmp_path):
         assert out.count() == n, name
 
 
+def test_pipeline_over_an_empty_table(spark, docs, tmp_path):
+    docs([]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "some words of a test")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 @pytest.mark.parametrize("rows", [[], [(1, "a text without a label", None, "s", 1), (2, None, "en", "s", 0), (3, "", "en", "s", 0)]])
 def test_language_stage_without_labelled_rows(spark, docs, rows):
     df = docs(rows)
