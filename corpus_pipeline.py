@@ -6,12 +6,13 @@ next reads it. All but the last return the columns of documents.
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from forkline.llm.bpe import bpe_encode
-from forkline.llm.common import shared_dir
+from forkline.llm.common import remove, shared_dir
 from forkline.llm.decontaminate import decontaminate
 from forkline.llm.exact_dedup import exact_dedup
 from forkline.llm.language_id import keep_identified, train
@@ -57,9 +58,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the last stage wrote. A stage's rows are deleted once the next one's are written;
+    the last ones stay while the session may read them. Nulls, empty texts and repeated rows
+    go as the stages' functions say; an empty table gives no rows."""
     folder = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove(spark, before)
+        before = f"{folder}/{name}"
+        docs = spark.read.parquet(before)
+    atexit.register(remove, spark, folder)
     return docs
