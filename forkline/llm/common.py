@@ -176,12 +176,23 @@ class Words:
 
 _HELD: dict = {}
 _LIBC = ctypes.CDLL(None)
+_M_MMAP_THRESHOLD, _LARGE = -3, 1 << 18
+
+
+def _lean() -> None:
+    """Let large arrays, Arrow's too, have pages of their own, so that a worker gives them back
+    to the system as they are freed, and doesn't keep holes of the largest it ever had."""
+    if hasattr(_LIBC, "mallopt"):
+        _LIBC.mallopt(_M_MMAP_THRESHOLD, _LARGE)
+        pa.set_memory_pool(pa.system_memory_pool())
 
 
 def held(key, make):
     """What a Python worker keeps from task to task, such as memos: for one operator at a
     time, so that a worker that turns to the next doesn't hold the last one's too."""
     if key not in _HELD:
+        if not _HELD:
+            _lean()
         _HELD.clear()
         gc.collect()
         pa.default_memory_pool().release_unused()
