@@ -202,6 +202,13 @@ class Automaton:
     def rules_at(self, state: int) -> int:
         return int(self.rules[state // self.n_classes])
 
+    def dead(self) -> int:
+        """The state from which nothing is accepted any more, -1 if there is none."""
+        rows = self.table.reshape(-1, self.n_classes)
+        own = np.arange(len(rows), dtype=rows.dtype)[:, None] * self.n_classes
+        found = np.flatnonzero((rows == own).all(1) & (own[:, 0] < self.accept_from))
+        return int(found[0]) * self.n_classes if len(found) else -1
+
 
 def compile_rules(nodes: list, anywhere: bool = True) -> Automaton:
     """One automaton for all the rules; with `anywhere` a match may start at any byte."""

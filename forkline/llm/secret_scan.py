@@ -1,9 +1,11 @@
 """Secret scanning with one combined automaton over bytes.
 
 All rules are scanned together: each byte of a text is looked at once. Many stretches of
-text are run side by side, a vector of states stepping through a vector of bytes; a long
-text is cut into stretches that overlap by the longest match less one, so the automaton
-sees every match whole. Where a rule's end is found, its reversed automaton finds the start.
+text are run side by side, a vector of states stepping through a vector of bytes. The state
+in which a stretch begins is first guessed from the bytes before it; where the stretch
+before ends in another state, it is run again from that one, so matches may have any length.
+Where rules end in a text, their reversed automata mark the starts and their forward ones
+find the longest match from each.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .automaton import Automaton, compile_rules, longest, parse, reverse
+from .automaton import Automaton, compile_rules, parse, reverse
 from .common import ship
 
 
@@ -23,19 +25,21 @@ def any_case(word: str) -> str:
 
 _KEYS = "|".join(map(any_case, ("api_?key", "access_key", "secret", "token", "passwd", "password")))
 
-#: Name and expression of each rule; every expression has a longest match. A leading \\b
-#: stands for the text's start or a byte that is no letter, digit, _ or - before the match.
+#: Name and expression of each rule; matches may be of any length. A leading \b stands for
+#: the text's start or a byte that is no letter, digit, _ or - before the match.
 RULES = {
-    "assigned_secret": rf"""(?:{_KEYS}) ?[=:] ?["'][0-9A-Za-z_-]{{16,64}}["']""",
+    "assigned_secret": rf"""(?:{_KEYS}) ?[=:] ?["'][0-9A-Za-z_+/=.~-]{{16,}}["']""",
     "aws_access_key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}",
     "github_token": r"\bgh[opsur]_[0-9A-Za-z]{36}",
     "google_api_key": r"\bAIza[0-9A-Za-z_-]{35}",
+    "json_web_token": r"\beyJ[0-9A-Za-z_-]{8,}\.eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{16,}",
+    "payment_key": r"\b[rs]k_live_[0-9A-Za-z]{16,}",
     "private_key": r"-----BEGIN (?:RSA |EC |DSA |OPENSSH |PGP )?PRIVATE KEY(?: BLOCK)?-----",
-    "slack_token": r"\bxox[abprs]-[0-9A-Za-z-]{10,48}",
+    "slack_token": r"\bxox[abprs]-[0-9A-Za-z-]{10,}",
 }
 
-#: Bytes of a stretch; stretches that run side by side at most.
-STRETCH, LANES = 4096, 16384
+#: Bytes of a stretch, bytes before it that guess its first state, stretches side by side at most.
+STRETCH, WARM, LANES = 4096, 64, 16384
 
 
 #: The bytes that may come before a rule's match where it asks for a boundary.
@@ -44,15 +48,35 @@ OUTSIDE = parse("[^0-9A-Za-z_-]")[1][0][1]
 
 class Scanner:
     def __init__(self, rules: dict[str, str]):
-        self.bounded = [v.startswith(r"\b") for v in rules.values()]
-        nodes = {k: parse(v.removeprefix(r"\b")) for k, v in rules.items()}
-        sizes = {k: longest(v) for k, v in nodes.items()}
-        if endless := [k for k, v in sizes.items() if not v]:
-            raise ValueError(f"rules need a longest match of a byte or more: {endless}")
-        self.names, self.sizes = list(rules), list(sizes.values())
-        self.forward = compile_rules([("cat", [("set", OUTSIDE), v]) if b else v for b, v in zip(self.bounded, nodes.values())])
-        self.backward = [compile_rules([reverse(v)], anywhere=False) for v in nodes.values()]
-        self.overlap = max(self.sizes)  # with the byte before a match
+        self.names, self.bounded = list(rules), [v.startswith(r"\b") for v in rules.values()]
+        nodes = [parse(v.removeprefix(r"\b")) for v in rules.values()]
+        self.forward = compile_rules([("cat", [("set", OUTSIDE), v]) if b else v for b, v in zip(self.bounded, nodes)])
+        self.starts = [compile_rules([reverse(v)]) for v in nodes]
+        self.single = [compile_rules([v], anywhere=False) for v in nodes]
+        if empty := [n for n, a in zip(self.names, self.single) if a.start >= a.accept_from]:
+            raise ValueError(f"rules that match nothing at all: {empty}")
+        self.dead = [a.dead() for a in self.single]
+
+    def _run(self, kind: np.ndarray, begin: np.ndarray, stop: np.ndarray, state: np.ndarray, found: dict | None) -> np.ndarray:
+        """The state of each stretch at its end; `found` gets the places and states that end matches."""
+        a: Automaton = self.forward
+        order = np.argsort(begin - stop, kind="stable")  # the longest first
+        out = state.copy()
+        for at in range(0, len(order), LANES):
+            lane = order[at : at + LANES]
+            place, length, now = begin[lane].copy(), (stop - begin)[lane], state[lane]
+            shrink = np.searchsorted(-length, -np.arange(int(length[0])), "left")  # stretches longer than the step
+            for k in shrink.tolist():
+                if k < len(now):
+                    out[lane[k : len(now)]] = now[k:]
+                    now, place = now[:k], place[:k]
+                now = a.table[now + kind[place]]
+                place += 1
+                if found is not None and now.max() >= a.accept_from:
+                    for i in np.flatnonzero(now >= a.accept_from).tolist():
+                        found.setdefault(int(lane[i]), []).append((int(place[i]), a.rules_at(int(now[i]))))
+            out[lane[: len(now)]] = now
+        return out
 
     def ends(self, raw: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int]]:
         """(position after the match, rules that end there), for texts raw[offsets[i]:offsets[i+1]]."""
@@ -60,46 +84,58 @@ class Scanner:
         sizes = np.diff(offsets)
         cuts = -(-sizes // STRETCH)
         text = np.repeat(np.arange(len(sizes)), cuts)
+        if not len(text):
+            return []
         nth = np.arange(len(text)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
         begin = offsets[text] + nth * STRETCH
         stop = np.minimum(begin + STRETCH, offsets[text + 1])
-        from_ = np.maximum(begin - self.overlap, offsets[text])
-        order = np.argsort(from_ - stop, kind="stable")  # the longest first
-        kind, found = a.classes[raw], []
-        for at in range(0, len(order), LANES):
-            lane = order[at : at + LANES]
-            place, length, own = from_[lane].copy(), (stop - from_)[lane], begin[lane]
-            at_start = from_[lane] == offsets[text[lane]]  # as after a line's end
-            state = np.where(at_start, a.table[a.start + int(a.classes[10])], np.int32(a.start))
-            shrink = np.searchsorted(-length, -np.arange(int(length[0])), "left")  # lanes longer than the step
-            for k in shrink.tolist():
-                if k < len(state):
-                    state, place = state[:k], place[:k]
-                state = a.table[state + kind[place]]
-                place += 1
-                if state.max() >= a.accept_from:
-                    for i in np.flatnonzero(state >= a.accept_from).tolist():
-                        if place[i] > own[i]:  # the overlap is another lane's
-                            found.append((int(place[i]), a.rules_at(int(state[i]))))
-        return sorted(found)
+        first = nth == 0
+        kind, found = a.classes[raw], {}
+        state = np.full(len(text), a.start, np.int32)
+        state[first] = a.table[a.start + int(a.classes[10])]  # as after a line's end
+        later = np.flatnonzero(~first)
+        if len(later):
+            state[later] = self._run(kind, begin[later] - WARM, begin[later], state[later], None)
+        end = self._run(kind, begin, stop, state, found)
+        while len(again := later[end[later - 1] != state[later]]):  # guessed wrong
+            state[again] = end[again - 1]
+            some: dict[int, list] = {}
+            end[again] = self._run(kind, begin[again], stop[again], state[again], some)
+            for k, lane in enumerate(again.tolist()):
+                found[lane] = some.get(k, [])
+        return sorted(x for some in found.values() for x in some)
 
     def matches(self, text: bytes, ends: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
         """(rule, start, end) in bytes: of each rule the leftmost-longest matches that don't overlap."""
         out = []
         for k, name in enumerate(self.names):
-            a, spans = self.backward[k], []
-            for end in [e for e, rules in ends if rules >> k & 1]:
-                state, start = a.start, end
-                for p in range(end - 1, max(-1, end - 1 - self.sizes[k]), -1):
-                    state = int(a.table[state + int(a.classes[text[p]])])
+            places, a, marked, p = [e for e, rules in ends if rules >> k & 1], self.starts[k], [], len(text)
+            classes, table = a.classes.tolist(), a.table
+            while places:  # back from the last end, until nothing of a match is open
+                p, state = min(p, places.pop()), a.start
+                while p:
+                    p -= 1
+                    state = int(table[state + classes[text[p]]])
                     if state >= a.accept_from and not (self.bounded[k] and p and not OUTSIDE >> text[p - 1] & 1):
-                        start = p
-                spans.append((start, -end))
-            last = 0
-            for start, end in sorted(spans):
-                if start >= last:
-                    out.append((name, start, -end))
-                    last = -end
+                        marked.append(p)
+                    if state == a.start:
+                        break
+                while places and places[-1] > p:
+                    places.pop()
+            a, last = self.single[k], 0
+            classes, table = a.classes.tolist(), a.table
+            for start in reversed(marked):
+                if start < last:
+                    continue
+                state, end = a.start, start
+                for p in range(start, len(text)):
+                    state = int(table[state + classes[text[p]]])
+                    if state == self.dead[k]:
+                        break
+                    if state >= a.accept_from:
+                        end = p + 1
+                out.append((name, start, end))
+                last = end
         return out
 
 
@@ -107,8 +143,9 @@ def scan_secrets(docs: DataFrame, rules: dict[str, str] | None = None, id_col: s
     """(doc_id, rule, nth, start, end, secret): every match of every rule in every row.
 
     `start` and `end` count UTF-8 bytes, `nth` counts a rule's matches in a row from 1. Null
-    and empty texts match nothing; repeated or null ids are reported row by row. Texts of
-    any length are scanned whole. One narrow stage: no shuffle, and what is sent to the
+    and empty texts match nothing; repeated or null ids are reported row by row. Texts and
+    matches of any length are scanned whole; ids may be of any type, and an empty table
+    gives no rows. One narrow stage: no shuffle, and what is sent to the
     tasks is the compiled rules.
     """
     ship(docs.sparkSession)
