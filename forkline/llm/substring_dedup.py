@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import words_of_worker, plan_bytes, rolling, ship, written
+from .common import id_longs, plan_bytes, rolling, ship, words_of_worker, written
 
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 #: The shortest passage that is reported.
@@ -104,11 +104,11 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Null ids, null and empty texts and texts under MIN_WORDS words are in no span. Rows with
     one id count as one document, so a text repeated under its own id is not reported, nor
-    is repetition within a document.
+    is repetition within a document. Ids are whole numbers; others are refused.
     """
     spark = docs.sparkSession
     ship(spark)
-    d = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("t")).where(F.col("id").isNotNull() & (F.length("t") >= 2 * MIN_WORDS - 1))
+    d = docs.select(id_longs(docs, id_col).alias("id"), docs[text_col].alias("t")).where(F.col("id").isNotNull() & (F.length("t") >= 2 * MIN_WORDS - 1))
     size = plan_bytes(docs) or 4096 * docs.count()
     buckets = max(8, size // BUCKET_BYTES)
 

@@ -11,6 +11,7 @@ from forkline.llm import decontaminate as D
 from forkline.llm import language_id as L
 from forkline.llm.automaton import compile_rules, longest, parse, reverse
 from forkline.llm.common import Words
+from forkline.llm.substring_dedup import repeated_passages
 from forkline.llm.secret_scan import RULES, STRETCH, Scanner, scan_secrets
 
 
@@ -246,6 +247,8 @@ def test_ids_that_are_no_numbers_are_refused(spark, docs):
     for left, right in ((named, bench), (docs([(1, "x")]), bench.selectExpr("'k' AS item_id", "text"))):
         with pytest.raises(TypeError, match="whole numbers"):
             D.overlaps(left, right)
+    with pytest.raises(TypeError, match="whole numbers"):
+        repeated_passages(named)
 
 
 def test_training_keeps_its_bound_where_ids_repeat(spark, monkeypatch):
