@@ -8,7 +8,7 @@ from __future__ import annotations
 import operator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import SemanticError
@@ -67,6 +67,51 @@ def join(left: DataFrame, right: DataFrame, on: list[tuple[str | Column, str | C
     return left.join(right, [(left[a] if isinstance(a, str) else a) == (right[b] if isinstance(b, str) else b) for a, b in on], "inner")
 
 
+#: Rows that join_pairs() packs into one.
+BLOCK = 4096
+
+
+def _named(df: DataFrame, keys: list[str], side: str) -> tuple[list[Column], list[str]]:
+    """The keys as k0, k1 and so on, the other columns as {side}0 and so on; and the names these had."""
+    rest = [c for c in df.columns if c not in keys]
+    return [F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys)] + [F.col(f"`{c}`").alias(f"{side}{i}") for i, c in enumerate(rest)], rest
+
+
+def join_pairs(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], block: int = BLOCK) -> DataFrame:
+    """Inner equi-join for keys that many rows of both sides share, whose result is therefore
+    far larger than its input; `right` is the side with fewer rows. join() puts all pairs of a
+    key into one task, and as tasks are made by bytes of input, often those of all keys. Here
+    the rows of `left` are spread over all tasks, whatever their keys are, and each task gets
+    the rows of `right`, `block` of a key packed into one. `left` is moved once and `right` once
+    a task, pairs aren't; a task holds the pairs of one row of `left` at a time.
+
+    The result has the columns besides the keys, which are of the same type on both sides."""
+    if not on:
+        raise SemanticError("a join needs a key; use cross() for all pairs")
+    check_comparable(left, right, on)
+    (l_named, l_rest), (r_named, r_rest) = _named(left, [a for a, _ in on], "l"), _named(right, [b for _, b in on], "r")
+    keys, given = [f"k{i}" for i in range(len(on))], conjunction(*[F.col(f"k{i}").isNotNull() for i in range(len(on))])
+    spark = left.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+    # Hashes and numbers come from the rows themselves: a task that runs again gives the same.
+    rows = left.select(*l_named).where(given)
+    rows = rows.withColumn("task", F.pmod(F.xxhash64(*rows.columns), F.lit(tasks)))
+    others = right.select(*r_named, F.lit(0).alias("filled")).where(given)
+    fields = [c for c in others.columns if c not in keys]
+    row = F.struct(*fields)
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy(row))
+    blocks = others.select(*keys, row.alias("row"), F.floor((number - 1) / block).alias("block")).groupBy(*keys, "block").agg(F.collect_list("row").alias("rows"))
+    blocks = blocks.select(*keys, *[F.col("rows")[c].alias(c) for c in fields], F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tasks - 1).cast("long"))).alias("task"))
+
+    # With a number of its own a shuffle isn't put together into fewer tasks.
+    pairs = rows.repartition(tasks, "task", *keys).join(blocks.repartition(tasks, "task", *keys), ["task", *keys], "inner")
+    first, ls = fields[0], [f"l{i}" for i in range(len(l_rest))]
+    pairs = pairs.select(*ls, *fields[1:], F.posexplode(first).alias("at", "one"))
+    values = [F.col("one") if f == first else F.get(f, "at") for f in fields[: len(r_rest)]]
+    return pairs.select(*[F.col(c).alias(n) for c, n in zip(ls, l_rest)], *[v.alias(n) for v, n in zip(values, r_rest)])
+
+
 def cross(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.crossJoin(right)
 

@@ -293,9 +293,10 @@ def join_self(spark, sf_dir):
 
 @query("SELECT c_custkey, s_suppkey FROM customer, supplier, nation WHERE c_nationkey = n_nationkey AND s_nationkey = n_nationkey AND c_nationkey = s_nationkey")
 def join_cycle(spark, sf_dir):
-    """Three conditions in a circle: all of them apply."""
+    """Three conditions in a circle: all of them apply. Every pair of a nation is a row."""
     c, s, n = (table(spark, sf_dir, t) for t in ("customer", "supplier", "nation"))
-    j = A.join(A.join(c, n, [("c_nationkey", "n_nationkey")]), s, [(F.col("n_nationkey"), F.col("s_nationkey")), (F.col("c_nationkey"), F.col("s_nationkey"))])
+    circle = A.join(c, n, [("c_nationkey", "n_nationkey")]).select("c_custkey", "c_nationkey", "n_nationkey")
+    j = A.join_pairs(circle, s.select("s_suppkey", F.col("s_nationkey").alias("x"), F.col("s_nationkey").alias("y")), [("n_nationkey", "x"), ("c_nationkey", "y")])
     return j.select("c_custkey", "s_suppkey")
 
 
