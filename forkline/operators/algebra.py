@@ -104,8 +104,9 @@ def join_pairs(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], blo
     blocks = others.select(*keys, row.alias("row"), F.floor((number - 1) / block).alias("block")).groupBy(*keys, "block").agg(F.collect_list("row").alias("rows"))
     blocks = blocks.select(*keys, *[F.col("rows")[c].alias(c) for c in fields], F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tasks - 1).cast("long"))).alias("task"))
 
-    # With a number of its own a shuffle isn't put together into fewer tasks.
-    pairs = rows.repartition(tasks, "task", *keys).join(blocks.repartition(tasks, "task", *keys), ["task", *keys], "inner")
+    # With a number of its own a shuffle isn't put together into fewer tasks. Without the hint
+    # the planner, to which explode() adds no rows, may broadcast what is for all tasks.
+    pairs = rows.repartition(tasks, "task", *keys).join(blocks.repartition(tasks, "task", *keys).hint("merge"), ["task", *keys], "inner")
     first, ls = fields[0], [f"l{i}" for i in range(len(l_rest))]
     pairs = pairs.select(*ls, *fields[1:], F.posexplode(first).alias("at", "one"))
     values = [F.col("one") if f == first else F.get(f, "at") for f in fields[: len(r_rest)]]
